@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op6_media_columns
+from .packing import op5_packing
 from .pii import op10_pii
 from .sharding import op1_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op10_pii": op10_pii,
 }
