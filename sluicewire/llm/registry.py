@@ -10,9 +10,11 @@ from .media import op6_media_columns
 from .packing import op5_packing
 from .pii import op10_pii
 from .sharding import op1_sharding
+from .simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op10_pii": op10_pii,
