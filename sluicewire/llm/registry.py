@@ -11,12 +11,14 @@ from .packing import op5_packing
 from .pii import op10_pii
 from .sharding import op1_sharding
 from .simhash import op2_simhash
+from .substring import op7_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
+    "op7_substring": op7_substring,
     "op10_pii": op10_pii,
 }
 
