@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language_id
 from .media import op6_media_columns
 from .packing import op5_packing
 from .pii import op10_pii
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_substring": op7_substring,
+    "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
 }
 
