@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .imatch import op3_imatch
 from .langid import op9_language_id
 from .media import op6_media_columns
 from .mixing import op8_mixing
@@ -19,6 +20,7 @@ from .substring import op7_substring
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_imatch": op3_imatch,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
