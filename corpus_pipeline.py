@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluicewire.llm import mixing, packing, pii, quality, simhash
 from sluicewire.llm.common import documents
@@ -31,8 +32,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once or more: a row for each pass of its source that takes it."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Every document once or more: a row for each pass of its source that takes it.
+
+    Inside a partition passes follow each other, in the order of their permuted blocks, so that
+    repeats of a document don't meet in a sequence.
+    """
+    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"))
+    return mixed.sortWithinPartitions("mix_pass", "mix_rank").select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
