@@ -179,7 +179,7 @@ def _branch_windows(window: int, k: int):
         for batch in batches:
             cols: list[list] = [[], [], []]
             for doc_id, text, paths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = (text.as_py() or "").encode().split()
+                words = (text.as_py() or "").encode().split() if paths.is_valid else []
                 if len(words) < window:
                     continue
                 scan = Scan(words, window, k)
@@ -218,13 +218,15 @@ def repeated_hashes(docs: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, found): for each document the hashes of its paths and windows that an earlier one has."""
     edges = docs.mapInArrow(_edges(window, k), _EDGES_DDL)
     repeated = edges.groupBy("edge").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("path") < F.max("path")).alias("branches")).where("d0 < d1").select("edge", "branches")
-    occur = durable(edges.join(repeated, "edge"))
+    # written first, so that the join below is between plain exchanges, whose hot partitions Spark splits
+    occur = durable(edges.join(durable(repeated), "edge"))
     paths = durable(occur.groupBy("edge", "path", "branches").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     # compacted: later sources of a path
     later = occur.join(paths.where("first < last").select("path", "edge", "first"), ["edge", "path"]).where("doc_id > first").select("doc_id", F.col("path").alias("h"))
     # branching: windows of each path, as its first source has them
     firsts = paths.where("branches").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("path").alias("paths"))
-    windows = durable(docs.join(firsts, "doc_id").select("doc_id", "text", "paths").mapInArrow(_branch_windows(window, k), _WINDOWS_DDL))
+    # an outer join, like that of the result, so that both read one exchange of the texts
+    windows = docs.join(firsts, "doc_id", "left").select("doc_id", "text", "paths").mapInArrow(_branch_windows(window, k), _WINDOWS_DDL).repartition("w1", "w2")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     again = windows.join(least, ["w1", "w2"]).where("doc_id > first").select("doc_id", F.col("w1").alias("h"))
     # bounded by the document's own number of edges and windows
