@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.correlation import log_network
 from .plans import query
@@ -15,7 +16,13 @@ from .sources.text import read_logs, stream_logs
 
 
 def union_events(*inputs: DataFrame) -> DataFrame:
-    """All inputs as one stream of events; columns that an input lacks are null."""
+    """All inputs as one stream of events; columns that an input lacks are null.
+
+    Payloads of different types become VARIANT, without their null fields: these are missing, not null.
+    """
+    kinds = {d.schema["data"].dataType.simpleString() for d in inputs if "data" in d.columns}
+    if len(kinds) > 1:
+        inputs = tuple(d if "data" not in d.columns or d.schema["data"].dataType.typeName() == "variant" else d.withColumn("data", F.parse_json(F.to_json("data"))) for d in inputs)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
 
 

@@ -24,7 +24,6 @@ def micros(column: Column, kind: T.DataType) -> Column:
 
 
 def nanos(df: DataFrame, time: str) -> Column:
-    """``timestamp_ns`` where ``df`` has it, else the time column's microseconds as nanoseconds."""
-    if "timestamp_ns" in df.columns:
-        return F.col("timestamp_ns").cast("long")
-    return micros(F.col(time), df.schema[time].dataType) * 1000
+    """``timestamp_ns`` where a row has it, else the time column's microseconds as nanoseconds."""
+    coarse = micros(F.col(time), df.schema[time].dataType) * 1000
+    return F.coalesce(F.col("timestamp_ns").cast("long"), coarse) if "timestamp_ns" in df.columns else coarse

@@ -19,6 +19,10 @@ from ..lang import ast
 from .predicates import predicate
 
 
+#: Spark's mark of a column that has a watermark.
+_WATERMARK = "spark.watermarkDelayMs"
+
+
 def _side(df: DataFrame, where: ast.Expr | None, time: str, keys: list[str], prefix: str) -> DataFrame:
     resolve = Resolver(df)
     kept = df if where is None else df.filter(predicate(where, resolve))
@@ -62,7 +66,10 @@ def _diff_ms() -> Column:
 
 
 def _pairs(joined: DataFrame, within_ms: int) -> DataFrame:
-    return joined.select("left_event", "right_event", _diff_ms().alias("time_diff_ms"), F.lit(within_ms).cast("long").alias("window_ms"), F.greatest("_left_time", "_right_time").alias("ts"))
+    # on streams the later time keeps the mark of an event time: whichever event comes last, it is not behind the watermark
+    marks = [f.metadata for f in joined.schema.fields if f.name in ("_left_time", "_right_time") and _WATERMARK in f.metadata]
+    mark = {"metadata": max(marks, key=lambda m: m[_WATERMARK])} if marks else {}
+    return joined.select("left_event", "right_event", _diff_ms().alias("time_diff_ms"), F.lit(within_ms).cast("long").alias("window_ms"), F.greatest("_left_time", "_right_time").alias("ts", **mark))
 
 
 def correlate_frames(left: DataFrame, right: DataFrame, within_ms: int, time: str = "ts", on: tuple[tuple[str, str], ...] = ()) -> DataFrame:

@@ -113,5 +113,5 @@ def read_pcap(spark: SparkSession, path: str, where: str | None = None, interfac
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, _DDL)
-    out = raw.select(F.lit("network").alias("type"), "timestamp_ns", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000)).alias("ts"), F.struct(F.lit("pcap").alias("type"), F.col("path").alias("name")).alias("source"), "data")
+    out = raw.select(F.lit("network").alias("type"), "timestamp_ns", F.timestamp_micros(F.expr("timestamp_ns div 1000")).alias("ts"), F.struct(F.lit("pcap").alias("type"), F.col("path").alias("name")).alias("source"), "data")
     return keep(out, expr) if expr is not None else out
