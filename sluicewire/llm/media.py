@@ -235,7 +235,7 @@ def probe_table(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
 
     def run(col: pd.Series) -> pd.DataFrame:
         found = [probe(x) for x in col]
-        return pd.DataFrame({"frames": [p.frames for p in found], "samples": [p.samples for p in found], "rate": [p.rate for p in found], "tags": [list(p.tags.items()) for p in found], "offsets": [p.offsets for p in found], "skipped": [p.skipped for p in found], "checksums": [p.checksums for p in found], "checksums_bad": [p.checksums_bad for p in found], "table": [p.table for p in found], "feature": [p.feature() for p in found]})
+        return pd.DataFrame({"frames": [p.frames for p in found], "samples": [p.samples for p in found], "rate": [p.rate for p in found], "tags": [p.tags for p in found], "offsets": [p.offsets for p in found], "skipped": [p.skipped for p in found], "checksums": [p.checksums for p in found], "checksums_bad": [p.checksums_bad for p in found], "table": [p.table for p in found], "feature": [p.feature() for p in found]})
 
     return df.select(*keep, F.pandas_udf(run, PROBE_SCHEMA)(media).alias("_p")).select(*keep, "_p.*")
 
