@@ -15,6 +15,7 @@ from .pii import op10_pii
 from .quality import op4_quality
 from .sharding import op1_sharding
 from .simhash import op2_simhash
+from .substring import ORACLE_SQL as SUBSTRING_SQL
 from .substring import op7_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_substring": SUBSTRING_SQL}

@@ -251,3 +251,15 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, k: int = K, key: str = "
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM docs, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+firsts AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k), range(50) AS r(j) WHERE m < doc_id),
+words AS (SELECT doc_id, p, ws[p] AS w FROM docs, unnest(range(1, len(ws) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
