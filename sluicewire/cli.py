@@ -109,6 +109,9 @@ def _follow(config: Config, monitor: Monitor, args: argparse.Namespace) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv and argv[0].startswith("-") and argv[0] not in ("-h", "--help", "-v", "--version"):
+        argv = ["analyze", *argv]
     args = parser().parse_args(argv)
     try:
         if args.command == "config":

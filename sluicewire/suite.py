@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def nql(name: str, source: str, text: str, sql: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d, **options) -> None:
+def text_query(name: str, source: str, text: str, sql: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d, **options) -> None:
     """A query of the language over one table."""
     register(name, sql)(lambda spark, sf_dir: finish(query(table(spark, sf_dir, source), text, **options)))
 
@@ -45,43 +45,43 @@ HOUR_US = 3_600_000_000
 
 # predicates and projection
 
-nql("filter_eq", "events", 'event_type == "error"', "SELECT * FROM events WHERE event_type = 'error'")
-nql("filter_bareword", "events", "event_type == purchase", "SELECT * FROM events WHERE event_type = 'purchase'")
-nql("filter_ne", "orders", 'o_orderstatus != "O"', "SELECT * FROM orders WHERE o_orderstatus <> 'O'")
-nql("filter_num", "orders", "o_totalprice >= 150000.5 AND o_orderkey < 9000", "SELECT * FROM orders WHERE o_totalprice >= 150000.5 AND o_orderkey < 9000")
-nql("filter_int_real", "part", "p_size == 5.0 OR p_size <= 2", "SELECT * FROM part WHERE p_size = 5 OR p_size <= 2")
-nql("filter_bool", "events", "(event_type == error OR event_type == click) AND value > 50", "SELECT * FROM events WHERE event_type IN ('error', 'click') AND value > 50")
-nql("filter_precedence", "events", "event_type == error OR event_type == click AND value > 50", "SELECT * FROM events WHERE event_type = 'error' OR (event_type = 'click' AND value > 50)")
-nql("filter_not", "events", 'NOT (event_type == "view" OR value < 20)', "SELECT * FROM events WHERE NOT (event_type = 'view' OR value < 20)")
-nql("filter_not_missing", "events", 'NOT absent == "x" AND user_id < 20', "SELECT * FROM events WHERE user_id < 20")
-nql("filter_type_mismatch", "events", 'value == "10" OR event_type >= 5', "SELECT * FROM events WHERE false")
-nql("filter_in", "events", 'event_type in ("signup", purchase) AND user_id in [1, 2, 3, 4, 5]', "SELECT * FROM events WHERE event_type IN ('signup', 'purchase') AND user_id IN (1, 2, 3, 4, 5)")
-nql("filter_contains", "part", 'p_type contains "A"', "SELECT * FROM part WHERE contains(p_type, 'A')")
-nql("filter_regex", "customer", "c_name =~ /customer#0*1[0-9]$/i OR c_mktsegment =~ \"^BUILD\"", "SELECT * FROM customer WHERE regexp_matches(c_name, 'customer#0*1[0-9]$', 'i') OR regexp_matches(c_mktsegment, '^BUILD')")
-nql("filter_regex_not", "part", "p_brand !~ /[12]$/", "SELECT * FROM part WHERE NOT regexp_matches(p_brand, '[12]$')")
-nql("filter_exists", "events", "props != null AND value", "SELECT * FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
-nql("filter_severity", "events", "event_type >= WARN", "SELECT * FROM events WHERE event_type = 'error'")
-nql("show_fields", "events", "show event_id, event_type, absent where value > 90", "SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS absent FROM events WHERE value > 90")
-nql("show_all", "supplier", "* where s_acctbal > 0", "SELECT * FROM supplier WHERE s_acctbal > 0")
+text_query("filter_eq", "events", 'event_type == "error"', "SELECT * FROM events WHERE event_type = 'error'")
+text_query("filter_bareword", "events", "event_type == purchase", "SELECT * FROM events WHERE event_type = 'purchase'")
+text_query("filter_ne", "orders", 'o_orderstatus != "O"', "SELECT * FROM orders WHERE o_orderstatus <> 'O'")
+text_query("filter_num", "orders", "o_totalprice >= 150000.5 AND o_orderkey < 9000", "SELECT * FROM orders WHERE o_totalprice >= 150000.5 AND o_orderkey < 9000")
+text_query("filter_int_real", "part", "p_size == 5.0 OR p_size <= 2", "SELECT * FROM part WHERE p_size = 5 OR p_size <= 2")
+text_query("filter_bool", "events", "(event_type == error OR event_type == click) AND value > 50", "SELECT * FROM events WHERE event_type IN ('error', 'click') AND value > 50")
+text_query("filter_precedence", "events", "event_type == error OR event_type == click AND value > 50", "SELECT * FROM events WHERE event_type = 'error' OR (event_type = 'click' AND value > 50)")
+text_query("filter_not", "events", 'NOT (event_type == "view" OR value < 20)', "SELECT * FROM events WHERE NOT (event_type = 'view' OR value < 20)")
+text_query("filter_not_missing", "events", 'NOT absent == "x" AND user_id < 20', "SELECT * FROM events WHERE user_id < 20")
+text_query("filter_type_mismatch", "events", 'value == "10" OR event_type >= 5', "SELECT * FROM events WHERE false")
+text_query("filter_in", "events", 'event_type in ("signup", purchase) AND user_id in [1, 2, 3, 4, 5]', "SELECT * FROM events WHERE event_type IN ('signup', 'purchase') AND user_id IN (1, 2, 3, 4, 5)")
+text_query("filter_contains", "part", 'p_type contains "A"', "SELECT * FROM part WHERE contains(p_type, 'A')")
+text_query("filter_regex", "customer", "c_name =~ /customer#0*1[0-9]$/i OR c_mktsegment =~ \"^BUILD\"", "SELECT * FROM customer WHERE regexp_matches(c_name, 'customer#0*1[0-9]$', 'i') OR regexp_matches(c_mktsegment, '^BUILD')")
+text_query("filter_regex_not", "part", "p_brand !~ /[12]$/", "SELECT * FROM part WHERE NOT regexp_matches(p_brand, '[12]$')")
+text_query("filter_exists", "events", "props != null AND value", "SELECT * FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
+text_query("filter_severity", "events", "event_type >= WARN", "SELECT * FROM events WHERE event_type = 'error'")
+text_query("show_fields", "events", "show event_id, event_type, absent where value > 90", "SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS absent FROM events WHERE value > 90")
+text_query("show_all", "supplier", "* where s_acctbal > 0", "SELECT * FROM supplier WHERE s_acctbal > 0")
 
 # aggregation
 
-nql("agg_global", "lineitem", "aggregate count(), sum(l_quantity), min(l_shipdate), max(l_extendedprice)", "SELECT count(*) AS count, round(sum(l_quantity), 6) AS l_quantity, CAST(0.0 AS DOUBLE) AS min_l_shipdate, max(l_extendedprice) AS max_l_extendedprice FROM lineitem", rounded("l_quantity"))
-nql(
+text_query("agg_global", "lineitem", "aggregate count(), sum(l_quantity), min(l_shipdate), max(l_extendedprice)", "SELECT count(*) AS count, round(sum(l_quantity), 6) AS l_quantity, CAST(0.0 AS DOUBLE) AS min_l_shipdate, max(l_extendedprice) AS max_l_extendedprice FROM lineitem", rounded("l_quantity"))
+text_query(
     "agg_group",
     "lineitem",
     "aggregate count(), sum(l_quantity), avg(l_extendedprice), min(l_discount), max(l_tax) by l_returnflag, l_linestatus where l_quantity > 10",
     "SELECT l_returnflag, l_linestatus, count(*) AS count, round(sum(l_quantity), 4) AS l_quantity, round(avg(l_extendedprice), 4) AS avg_l_extendedprice, min(l_discount) AS min_l_discount, max(l_tax) AS max_l_tax FROM lineitem WHERE l_quantity > 10 GROUP BY ALL",
     rounded("l_quantity", "avg_l_extendedprice", digits=4),
 )
-nql("agg_empty", "events", 'aggregate count(), avg(value) where event_type == "none"', "SELECT count(*) AS count, avg(value) AS avg_value FROM events WHERE false HAVING count(*) > 0")
-nql(
+text_query("agg_empty", "events", 'aggregate count(), avg(value) where event_type == "none"', "SELECT count(*) AS count, avg(value) AS avg_value FROM events WHERE false HAVING count(*) > 0")
+text_query(
     "agg_percentile",
     "events",
     "aggregate percentile(value, 95), percentile(value, 50), percentile(value, 99.9), count() by event_type",
     "SELECT event_type, list_sort(list(value))[least(CAST(floor(95::DOUBLE / 100 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p95_value, list_sort(list(value))[least(CAST(floor(50::DOUBLE / 100 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p50_value, list_sort(list(value))[least(CAST(floor(99.9::DOUBLE / 100 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p99_9_value, count(*) AS count FROM events GROUP BY event_type",
 )
-nql("agg_distinct", "events", "aggregate distinct(user_id), distinct(props) by event_type", "SELECT event_type, count(DISTINCT user_id) AS distinct_user_id, count(DISTINCT props) AS distinct_props FROM events GROUP BY event_type")
+text_query("agg_distinct", "events", "aggregate distinct(user_id), distinct(props) by event_type", "SELECT event_type, count(DISTINCT user_id) AS distinct_user_id, count(DISTINCT props) AS distinct_props FROM events GROUP BY event_type")
 
 
 @register(
@@ -93,44 +93,44 @@ def agg_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(events, "aggregate count(), sum(props.k), avg(absent), min(event_type) by event_type").withColumn("props.k", F.round("`props.k`", 6))
 
 
-nql("agg_having", "events", "aggregate count(), avg(value) by user_id | count > 60 | show user_id, count", "SELECT user_id, count(*) AS count FROM events GROUP BY user_id HAVING count(*) > 60")
+text_query("agg_having", "events", "aggregate count(), avg(value) by user_id | count > 60 | show user_id, count", "SELECT user_id, count(*) AS count FROM events GROUP BY user_id HAVING count(*) > 60")
 
 # windows
 
-nql(
+text_query(
     "win_tumbling",
     "events",
     "aggregate count(), sum(value) by event_type window 1h",
     f"SELECT event_type, make_timestamp(epoch_us(ts) // {HOUR_US} * {HOUR_US}) AS window_start, make_timestamp(epoch_us(ts) // {HOUR_US} * {HOUR_US} + {HOUR_US}) AS window_end, count(*) AS count, round(sum(value), 6) AS value FROM events GROUP BY ALL",
     rounded("value"),
 )
-nql(
+text_query(
     "win_sliding",
     "events",
     "aggregate count(), max(value) window sliding(1h, 10m)",
     f"SELECT make_timestamp(s) AS window_start, make_timestamp(s + {HOUR_US}) AS window_end, count(*) AS count, max(value) AS max_value FROM (SELECT value, (epoch_us(ts) // 600000000 - i) * 600000000 AS s FROM events, range(6) t(i)) GROUP BY s",
 )
-nql(
+text_query(
     "win_hopping",
     "events",
     "aggregate count() by event_type window sliding(10m, 1h)",
     f"SELECT event_type, make_timestamp(s) AS window_start, make_timestamp(s + 600000000) AS window_end, count(*) AS count FROM (SELECT event_type, ts, epoch_us(ts) // {HOUR_US} * {HOUR_US} AS s FROM events) WHERE epoch_us(ts) - s < 600000000 GROUP BY ALL",
 )
 _SESSIONS = "SELECT user_id, ts, value, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT user_id, ts, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS n FROM events)"
-nql(
+text_query(
     "win_session",
     "events",
     "aggregate count(), avg(value) by user_id window session(30m)",
     f"SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, count(*) AS count, round(avg(value), 6) AS avg_value FROM ({_SESSIONS}) GROUP BY user_id, sid",
     rounded("avg_value"),
 )
-nql(
+text_query(
     "win_session_percentile",
     "events",
     "aggregate count(), percentile(value, 50) by user_id window session(30m)",
     f"SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, count(*) AS count, list_sort(list(value))[least(CAST(floor(0.5::DOUBLE * count(*)) AS BIGINT), count(*) - 1) + 1] AS p50_value FROM ({_SESSIONS}) GROUP BY user_id, sid",
 )
-nql(
+text_query(
     "win_percentile",
     "events",
     "aggregate percentile(value, 90) by event_type window tumbling(24h)",
@@ -157,11 +157,11 @@ def _band(left: str, right: str, us: int, more: str = "") -> str:
     return f"SELECT l.event_id AS left_id, r.event_id AS right_id, (epoch_us(l.ts) - epoch_us(r.ts)) / 1000.0::DOUBLE AS time_diff_ms, CAST({us // 1000} AS BIGINT) AS window_ms, greatest(l.ts, r.ts) AS ts FROM events l JOIN events r ON abs(epoch_us(l.ts) - epoch_us(r.ts)) <= {us}{more} WHERE {left} AND {right}"
 
 
-nql("correlate_band", "events", "correlate event_type == error with event_type == click within 60s", _band("l.event_type = 'error'", "r.event_type = 'click'", 60_000_000), _flat)
-nql("correlate_self", "events", "correlate event_type == error with value > 120 within 1m", _band("l.event_type = 'error'", "r.value > 120", 60_000_000), _flat)
-nql("correlate_default", "events", "correlate value > 10 with value <= 150", _band("l.value > 10", "r.value <= 150", 100_000), _flat)
-nql("correlate_id", "events", "correlate event_type == signup with event_type == purchase within 12h on user_id == user_id", _band("l.event_type = 'signup'", "r.event_type = 'purchase'", 12 * HOUR_US, " AND l.user_id = r.user_id"), _flat)
-nql(
+text_query("correlate_band", "events", "correlate event_type == error with event_type == click within 60s", _band("l.event_type = 'error'", "r.event_type = 'click'", 60_000_000), _flat)
+text_query("correlate_self", "events", "correlate event_type == error with value > 120 within 1m", _band("l.event_type = 'error'", "r.value > 120", 60_000_000), _flat)
+text_query("correlate_default", "events", "correlate value > 10 with value <= 150", _band("l.value > 10", "r.value <= 150", 100_000), _flat)
+text_query("correlate_id", "events", "correlate event_type == signup with event_type == purchase within 12h on user_id == user_id", _band("l.event_type = 'signup'", "r.event_type = 'purchase'", 12 * HOUR_US, " AND l.user_id = r.user_id"), _flat)
+text_query(
     "sequence_band",
     "events",
     "correlate event_type == error followed by event_type == click within 5m",
@@ -214,16 +214,16 @@ def field_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # pipelines
 
-nql("pipeline_filter_agg", "events", "event_type == error AND value > 10 | aggregate count(), avg(value) by user_id", "SELECT user_id, count(*) AS count, round(avg(value), 6) AS avg_value FROM events WHERE event_type = 'error' AND value > 10 GROUP BY user_id", rounded("avg_value"))
-nql("pipeline_corr_agg", "events", "correlate event_type == error with event_type == click within 60s | aggregate count(), max(time_diff_ms) by left_event.user_id", "SELECT l.user_id AS \"left_event.user_id\", count(*) AS count, max((epoch_us(l.ts) - epoch_us(r.ts)) / 1000.0::DOUBLE) AS max_time_diff_ms FROM events l JOIN events r ON abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 60000000 WHERE l.event_type = 'error' AND r.event_type = 'click' GROUP BY l.user_id")
-nql(
+text_query("pipeline_filter_agg", "events", "event_type == error AND value > 10 | aggregate count(), avg(value) by user_id", "SELECT user_id, count(*) AS count, round(avg(value), 6) AS avg_value FROM events WHERE event_type = 'error' AND value > 10 GROUP BY user_id", rounded("avg_value"))
+text_query("pipeline_corr_agg", "events", "correlate event_type == error with event_type == click within 60s | aggregate count(), max(time_diff_ms) by left_event.user_id", "SELECT l.user_id AS \"left_event.user_id\", count(*) AS count, max((epoch_us(l.ts) - epoch_us(r.ts)) / 1000.0::DOUBLE) AS max_time_diff_ms FROM events l JOIN events r ON abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 60000000 WHERE l.event_type = 'error' AND r.event_type = 'click' GROUP BY l.user_id")
+text_query(
     "pipeline_topk",
     "events",
     "value > 1 | aggregate count(), percentile(value, 95) by user_id | top(10) by percentile(value, 95)",
     "SELECT user_id, count(*) AS count, list_sort(list(value))[least(CAST(floor(95::DOUBLE / 100 * count(*)) AS BIGINT), count(*) - 1) + 1] AS p95_value FROM events WHERE value > 1 GROUP BY user_id ORDER BY p95_value DESC, user_id LIMIT 10",
 )
-nql("pipeline_order_limit", "events", "aggregate count(), max(value) by user_id | order by count desc, user_id | limit 7", "SELECT user_id, count(*) AS count, max(value) AS max_value FROM events GROUP BY user_id ORDER BY count DESC, user_id LIMIT 7")
-nql("pipeline_three", "lineitem", "l_discount > 0.02 | aggregate sum(l_extendedprice), count() by l_suppkey | top(5) by count | show l_suppkey, count", "SELECT l_suppkey, count(*) AS count FROM lineitem WHERE l_discount > 0.02 GROUP BY l_suppkey ORDER BY count DESC, l_suppkey LIMIT 5")
+text_query("pipeline_order_limit", "events", "aggregate count(), max(value) by user_id | order by count desc, user_id | limit 7", "SELECT user_id, count(*) AS count, max(value) AS max_value FROM events GROUP BY user_id ORDER BY count DESC, user_id LIMIT 7")
+text_query("pipeline_three", "lineitem", "l_discount > 0.02 | aggregate sum(l_extendedprice), count() by l_suppkey | top(5) by count | show l_suppkey, count", "SELECT l_suppkey, count(*) AS count FROM lineitem WHERE l_discount > 0.02 GROUP BY l_suppkey ORDER BY count DESC, l_suppkey LIMIT 5")
 
 # payloads
 

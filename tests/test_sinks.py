@@ -96,7 +96,7 @@ def test_config_and_cli(tmp_path, capsys):
     assert cli.main(["config", "validate", str(path)]) == 0
     assert cli.main(["analyze", "--config", str(path)]) == 0
     assert [json.loads(x)["data"]["metrics"] for x in (tmp_path / "out.jsonl").read_text().splitlines()] == [{"count": 2}]
-    assert cli.main(["analyze", "--logs", str(tmp_path / "in.jsonl"), "--query", "level == INFO"]) == 0
+    assert cli.main(["--logs", str(tmp_path / "in.jsonl"), "--query", "level == INFO"]) == 0
     assert '"level":"INFO"' in capsys.readouterr().out
     assert cli.main(["analyze", "--logs", str(tmp_path / "in.jsonl"), "--query", "level =="]) == 2
 
