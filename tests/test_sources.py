@@ -138,3 +138,23 @@ def test_monitor_joins_inputs(spark, tmp_path):
     assert m.correlations().count() == 1
     assert m.enable_correlation(10).correlations().count() == 0
     assert Monitor(spark).add_log_input(str(tmp_path / "logs"), "json", "level == INFO").events().count() == 1
+
+
+def test_pcap_format(spark, tmp_path):
+    from sluicewire.sources.pcap_format import PcapReader, register
+
+    for i in range(2):
+        (tmp_path / f"{i}.pcap").write_bytes(write_pcap([(i, frame(6, "10.0.0.1", "10.0.0.2", dport=80 + i)), (i + 5, frame(17, "10.0.0.1", "9.9.9.9", dport=53))]))
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("pcap").load(str(tmp_path))
+    assert df.count() == 4
+    assert query(df, "network.dst_port == 53 AND protocol == udp").count() == 2
+    assert df.where("tcp_dst_port = 81").count() == 1
+    from pyspark.sql.datasource import EqualTo
+
+    reader = PcapReader({"path": str(tmp_path)})
+    list(reader.pushFilters([EqualTo(("udp_dst_port",), 53)]))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+    with pytest.raises(ValueError, match="path"):
+        PcapReader({})
