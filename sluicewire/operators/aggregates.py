@@ -2,8 +2,8 @@
 
 Missing and non-numeric values of a measured field count as 0.0. The percentile is the value at
 index ``min(floor(p / 100 * n), n - 1)`` of the sorted values. In batch it comes from counts of
-distinct values and a running sum over them, so no group is ever gathered in memory; on streams it
-sorts the group's values.
+distinct values, which a large input has cut into ranges, so no group is gathered in a task; on
+streams it sorts the group's values.
 """
 
 from __future__ import annotations
@@ -37,14 +37,59 @@ def _metric(f: ast.Func, resolve: Resolver, streaming: bool) -> Column:
     return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[f.name](x)
 
 
+#: Ranges of values into which a group of a large input is cut to find its percentiles.
+RANGES = 1024
+#: Inputs of at most so many bytes, by the plan's estimate, have their groups sorted whole.
+SORTED_BYTES = 4 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which nulls are equal; without keys, ``right`` has at most one row."""
+    q = [quoted(k) for k in keys]
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(q)], *[quoted(c) for c in right.columns if c not in keys])
+    if not keys:
+        return left.join(F.broadcast(renamed), F.lit(True), how)
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(q)])
+    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _range_of(v: Column, splits: Column) -> Column:
+    """How many of the increasing ``splits`` are at most ``v``, by binary search."""
+    steps = [1 << i for i in reversed(range(RANGES.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= F.size(splits)) & (F.get(splits, at + s - 1) <= v), at + s).otherwise(at))
+
+
 def _percentiles(df: DataFrame, keys: list[str], field: str, funcs: list[ast.Func]) -> DataFrame:
-    """``keys`` and the exact percentiles of one measured field (column ``field``)."""
+    """``keys`` and the exact percentiles of one measured field (column ``field``).
+
+    Distinct values are counted. A small input's are sorted, with a running sum. Those of a large
+    one are cut into ranges by approximate quantiles of their group. The
+    ranges' counts tell which of them a percentile's index falls in, and only the values of these
+    are sorted: the part of a hot group that a task sees is a range, not the group.
+    """
     q = [quoted(k) for k in keys]
     counts = df.groupBy(*q, F.col(quoted(field)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    over = Window.partitionBy(*q) if q else Window.partitionBy(F.lit(0))
-    running = counts.select("*", F.sum("_c").over(over.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"), F.sum("_c").over(over).alias("_n"))
-    at = lambda p: F.least(F.floor(F.lit(p / 100.0) * F.col("_n")), F.col("_n") - 1)
-    return running.groupBy(*q).agg(*[F.min(F.when(F.col("_cum") > at(f.p), F.col("_v"))).alias(f.column) for f in funcs])
+    group = Window.partitionBy(*q) if q else Window.partitionBy(F.lit(0))
+    index = [F.least(F.floor(F.lit(f.p / 100.0) * F.col("_n")), F.col("_n") - 1) for f in funcs]
+    if estimated_bytes(df) <= SORTED_BYTES:
+        running = counts.select("*", F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"), F.sum("_c").over(group).alias("_n"))
+        return running.groupBy(*q).agg(*[F.min(F.when(F.col("_cum") > i, F.col("_v"))).alias(f.column) for f, i in zip(funcs, index, strict=True)])
+    splits = counts.groupBy(*q).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_s"))
+    ranged = _joined(counts, splits, keys).withColumn("_r", _range_of(F.col("_v"), F.col("_s"))).drop("_s")
+    sums = ranged.groupBy(*q, "_r").agg(F.sum("_c").alias("_rc"))
+    # at most RANGES rows for each group
+    placed = sums.select("*", (F.sum("_rc").over(group.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rc")).alias("_before"), F.sum("_rc").over(group).alias("_n"))
+    hit = reduce(lambda a, b: a | b, [(F.col("_before") <= i) & (i < F.col("_before") + F.col("_rc")) for i in index])
+    inside = _joined(ranged, placed.where(hit), [*keys, "_r"])
+    so_far = F.col("_before") + F.sum("_c").over(Window.partitionBy(*q, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    here = inside.select("*", so_far.alias("_cum"))
+    picked = [F.min(F.when((F.col("_before") <= i) & (F.col("_cum") > i), F.col("_v"))).alias(f.column) for f, i in zip(funcs, index, strict=True)]
+    return here.groupBy(*q).agg(*picked)
 
 
 def aggregate(df: DataFrame, stage: ast.Aggregate, time: str | None = None) -> DataFrame:
@@ -79,10 +124,7 @@ def aggregate(df: DataFrame, stage: ast.Aggregate, time: str | None = None) -> D
             else:
                 values = df.select(*group, resolve(field).measure().alias("_m"))
             part = _percentiles(values, shared, "_m", mine)
-            same = [out[quoted(k)].eqNullSafe(part[quoted(k)]) for k in shared]
-            right = part.select(*[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(shared)], *[quoted(f.column) for f in mine])
-            cond = reduce(lambda a, b: a & b, [F.col(quoted(k)).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(shared)]) if same else F.lit(True)
-            out = out.join(right, cond, "left") if same else out.crossJoin(right)
+            out = _joined(out, part, shared, "left")
     order = [F.col(quoted(k)) for k in names]
     edges = bounds(F.col("_window"), stage.window) if window is not None else []
     return out.select(*order, *edges, *[F.col(quoted(f.column)) for f in funcs])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicewire.lang import parse
+from sluicewire.operators import aggregates
 from sluicewire.plans import query, to_json_lines, to_payload
 
 T0 = dt.datetime(2024, 1, 1)
@@ -107,13 +108,29 @@ def test_functions_are_independent_and_missing_counts_as_zero(calls):
     assert r == {"count": 4, "ms": 60.0, "avg_ms": 15.0, "min_ms": 0.0, "max_ms": 30.0, "service": 0.0}
 
 
-def test_percentile_is_by_index(spark):
+@pytest.mark.parametrize("limit", [aggregates.SORTED_BYTES, 0])
+def test_percentile_is_by_index(spark, monkeypatch, limit):
+    monkeypatch.setattr(aggregates, "SORTED_BYTES", limit)
     df = spark.createDataFrame([(float(i), i % 2) for i in range(1, 21)], "v double, k int")
     assert query(df, "aggregate percentile(v, 95), percentile(v, 0), percentile(v, 100)").collect()[0][:] == (20.0, 1.0, 20.0)
     got = query(df.unionByName(df.where("v < 4")), "aggregate count(), percentile(v, 50) by k").collect()
     assert sorted(map(tuple, got)) == [(0, 11, 10.0), (1, 12, 9.0)]
 
 
+@pytest.mark.parametrize("limit", [aggregates.SORTED_BYTES, 0])
+def test_percentiles_of_many_values(spark, monkeypatch, limit):
+    monkeypatch.setattr(aggregates, "SORTED_BYTES", limit)
+    rng = random.Random(11)
+    data = [(rng.choice([None, "a", "b"]), rng.choice([None, float(rng.randrange(40)), rng.gauss(0, 50)])) for _ in range(3000)]
+    df = spark.createDataFrame(data, "k string, v double")
+    want = []
+    for k in (None, "a", "b"):
+        values = sorted(v or 0.0 for g, v in data if g == k)
+        want.append((k, *(values[min(int(p / 100 * len(values)), len(values) - 1)] for p in (0, 33, 95, 100))))
+    got = query(df, "aggregate percentile(v, 0), percentile(v, 33), percentile(v, 95), percentile(v, 100) by k").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_no_rows_no_groups(calls):
     assert query(calls, 'aggregate count(), percentile(ms, 50) where level == "none"').collect() == []
 
