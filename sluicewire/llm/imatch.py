@@ -68,50 +68,64 @@ def _level(found: Column, level: int) -> Column:
     return F.filter(found, lambda h: F.shiftrightunsigned(h, 50).bitwiseAND(mask) == 0) if level else found
 
 
-def _digest(found: Column):
-    def of(s: Column) -> Column:
-        own = F.filter(found, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SUBSETS - 1).cast("long")) == s)
-        return F.when(F.size(own) == 0, EMPTY).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 4))
+#: A term's code: its subset in the five bits below the sign, and the low bits of its hash.
+CODE_BITS = 58
+_LOW = (1 << CODE_BITS) - 1
 
-    return of
+
+def _code(h: Column) -> Column:
+    subset = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SUBSETS - 1).cast("long"))
+    return F.shiftleft(subset, CODE_BITS).bitwiseOR(h.bitwiseAND(F.lit(_LOW).cast("long")))
+
+
+def _digest(part: Column) -> Column:
+    return F.when(F.length(part) < 2, EMPTY).otherwise(F.lower(F.substring(F.lpad(F.hex(F.xxhash64(part)), 16, "0"), 1, 4)))
+
+
+def _digests(found: Column) -> Column:
+    """One digest for each subset of an array of distinct term hashes.
+
+    Codes sort by subset, then term. A code without low bits marks where each subset begins, so the
+    sorted terms are written out once, cut at the marks, and hashed part by part.
+    """
+    marks = F.array(*[F.lit(s << CODE_BITS).cast("long") for s in range(SUBSETS)])
+    codes = F.sort_array(F.concat(F.transform(found, _code), marks))
+    written = F.array_join(F.transform(codes, lambda c: F.when(c.bitwiseAND(F.lit(_LOW).cast("long")) == 0, "!").otherwise(F.hex(c))), ",")
+    return F.transform(F.slice(F.split(written, "!"), 2, SUBSETS), _digest)
 
 
 def fingerprint_of(found: Column) -> Column:
-    """The fingerprint of an array of sorted term hashes."""
-    parts = [F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), _digest(_level(found, level))), "") for level in range(LEVELS)]
-    return F.lower(F.concat(*parts))
+    """The digests of all levels, as an array, of an array of distinct term hashes."""
+    return F.concat(*[_digests(_level(found, level)) for level in range(LEVELS)])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The part (0 to 1) of subsets with equal digests, of those with a term, on the level that tells most.
 
-    Fingerprints without any term are alike only if both are.
+    Takes arrays of digests. Fingerprints without any term are alike only if both are.
     """
-    at = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-
-    def digit(c: Column, i: Column, level: int) -> Column:
-        return F.substring(c, (i + level * SUBSETS) * 4 + 1, F.lit(4))
 
-    def used_at(level: int):
-        return lambda i: (digit(a, i, level) != EMPTY) | (digit(b, i, level) != EMPTY)
+    def unused(i: Column) -> Column:
+        return (F.get(a, i) == EMPTY) & (F.get(b, i) == EMPTY)
 
-    def same_at(level: int):
-        return lambda i: (digit(a, i, level) != EMPTY) & (digit(a, i, level) == digit(b, i, level))
+    def same(i: Column) -> Column:
+        return (F.get(a, i) == F.get(b, i)) & (F.get(a, i) != EMPTY)
 
     out = None
     for level in reversed(range(LEVELS)):
-        used, same = F.size(F.filter(at, used_at(level))), F.size(F.filter(at, same_at(level)))
-        here = F.when(used > 0, same / used).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+        at = F.sequence(F.lit(level * SUBSETS), F.lit((level + 1) * SUBSETS - 1))
+        used, equal = SUBSETS - F.size(F.filter(at, unused)), F.size(F.filter(at, same))
+        here = F.when(used > 0, equal / used).otherwise(0.0)
         out = here if out is None else F.when(used <= FULL_ENOUGH, here).otherwise(out)
     return F.when(a == b, 1.0).otherwise(out).cast("double")
 
 
 def fingerprints(df: DataFrame, bitmap: bytes, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint of ``text``; a null or blank text has the one without terms."""
+    """``df`` with the fingerprint (an array of digests) of ``text``; a null or blank text has the one without terms."""
     cols = df.columns
     found = df.select("*", terms(F.coalesce(F.col(text), F.lit(""))).alias("_all"))
     found = found.select("*", F.filter("_all", _in(bitmap)).alias("_band"))
-    found = found.select(*[F.col(c) for c in cols], F.array_sort(F.when(F.size("_band") < FEW, F.col("_all")).otherwise(F.col("_band"))).alias("_t"))
+    found = found.select(*[F.col(c) for c in cols], F.when(F.size("_band") < FEW, F.col("_all")).otherwise(F.col("_band")).alias("_t"))
     return found.select(*[F.col(c) for c in cols], fingerprint_of(F.col("_t")).alias(out))
 
 
@@ -168,11 +182,11 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
         key, "_range", "_ghost", "_tie", "text", n.cast("long").alias("n_chars"),
         F.when(~F.col("_ghost"), F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))).alias("_edited"),
     )
-    rows = fingerprints(rows, bitmap, "text", "fingerprint")
-    rows = fingerprints(rows, bitmap, "_edited", "edited_fingerprint")
-    rows = rows.select(key, "_range", "_ghost", "_tie", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
-    rows = rows.withColumn("_after", F.lead("fingerprint").over(order)).where(~F.col("_ghost"))
-    return rows.select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_after")).alias("near_next"))
+    rows = fingerprints(rows, bitmap, "text", "_own")
+    rows = fingerprints(rows, bitmap, "_edited", "_new")
+    rows = rows.select(key, "_range", "_ghost", "_tie", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_own", "_new")
+    rows = rows.withColumn("_after", F.lead("_own").over(order)).where(~F.col("_ghost"))
+    return rows.select(key, "n_chars", "edited_sha256", F.array_join("_own", "").alias("fingerprint"), F.array_join("_new", "").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_after")).alias("near_next"))
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

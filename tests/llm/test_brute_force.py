@@ -3,7 +3,6 @@
 import math
 import os
 import re
-import struct
 from collections import Counter
 
 import pytest
@@ -25,10 +24,6 @@ def terms(text):
     return {xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.split(r"[^\w]|_", text.lower()) if w}
 
 
-def signed(h):
-    return h - (1 << 64) if h >> 63 else h
-
-
 def fingerprint(text, band):
     every = terms(text)
     kept = {h for h in every if h % imatch.SLOTS in band}
@@ -36,11 +31,9 @@ def fingerprint(text, band):
     out = ""
     for level in range(imatch.LEVELS):
         for s in range(imatch.SUBSETS):
-            own = sorted((signed(h) for h in kept if h >> 50 & ((1 << imatch.LEVEL_BITS * level) - 1) == 0 and h >> 40 & imatch.SUBSETS - 1 == s))
-            seed = 42
-            for x in own:
-                seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=seed)
-            out += f"{seed:016x}"[:4] if own else imatch.EMPTY
+            own = sorted(s << imatch.CODE_BITS | h & (1 << imatch.CODE_BITS) - 1 for h in kept if h >> 50 & ((1 << imatch.LEVEL_BITS * level) - 1) == 0 and h >> 40 & imatch.SUBSETS - 1 == s)
+            text = "".join(f",{x:X}" for x in own) + ("," if s < imatch.SUBSETS - 1 else "")
+            out += f"{xxhash.xxh64_intdigest(text.encode(), seed=42):016x}"[:4] if own else imatch.EMPTY
     return out
 
 

@@ -181,7 +181,8 @@ def test_mixing_of_odd_tables(spark):
 
 
 def likeness(spark, a, b):
-    df = spark.createDataFrame([(a, b)], "a string, b string")
+    cut = lambda x: [x[i : i + 4] for i in range(0, len(x), 4)]
+    df = spark.createDataFrame([(cut(a), cut(b))], "a array<string>, b array<string>")
     return df.select(imatch.likeness(F.col("a"), F.col("b"))).first()[0]
 
 
