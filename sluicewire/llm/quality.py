@@ -31,7 +31,7 @@ MIN_ROWS = 4
 L2, STEPS, RATE = 1e-4, 250, 0.08
 #: A document is kept if the probability of at least this grade is at least this.
 KEEP_GRADE, KEEP_PROBABILITY = 2, 0.6
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—"
 _tokens: dict[str, tuple[int, str]] = {}
 
@@ -95,18 +95,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> Model:
-    """Least penalised negative log-likelihood by Adam over all rows at once; grades 0 to ``top``."""
+    """Least penalised negative log-likelihood by Adam over all rows at once; grades 0 to ``top``. Empties ``rows``."""
     if not len(rows):
         # nothing learned: every text surely has the top grade, so nothing is rejected
         return Model(np.zeros(DIMENSIONS), np.full(top, -50.0))
     slots = np.concatenate([a for a, _ in rows]).astype(np.int32)
     values = np.concatenate([v for _, v in rows]).astype(np.float32)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])
+    n = len(rows)
+    rows.clear()  # the arrays above hold all of it
     used = np.bincount(slots, minlength=DIMENSIONS) >= MIN_ROWS
     on = used[slots]
-    at, inverse = np.unique(slots[on], return_inverse=True)
-    values, row, inverse = values[on], row[on], inverse.astype(np.int32)
-    n, m = len(rows), len(at)
+    at = np.flatnonzero(used)
+    rank = np.zeros(DIMENSIONS, dtype=np.int32)
+    rank[at] = np.arange(len(at))
+    values, row, inverse = values[on], row[on], rank[slots[on]]
+    del slots, on
+    m = len(at)
     # thresholds as a first one and positive steps
     share = [np.clip((grades > k).mean(), 1e-3, 1 - 1e-3) for k in range(top)]
     first = [-np.log(s / (1 - s)) for s in share]
@@ -148,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     # at most `sample` rows of two numbers
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("text", "grade").mapInArrow(_feature_rows, "at array<int>, value array<float>, grade int").toArrow()
-    got = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(rows.column("at"), rows.column("value"), strict=True)]
-    return fit_rows(got, rows.column("grade").to_numpy().astype(np.int64), KEEP_GRADE)
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    return fit_rows([(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(rows.column("at"), rows.column("value"), strict=True)], grades, KEEP_GRADE)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
