@@ -1,16 +1,16 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-All languages share one table: slot ``i`` holds a bit for each language, so the AND of the few
+Languages share tables, 64 a table: slot ``i`` holds a bit for each language, so the AND of the few
 slots of an n-gram is the set of languages that contain it. A language contains an n-gram if at
 least ``MIN_RATE`` of its own n-grams are that one; by that rule it has at most ``1 / MIN_RATE``,
-whatever the corpus, which bounds the table. A text's n-grams give each language a popcount; the
+whatever the corpus, which bounds the tables. A text's n-grams give each language a popcount; the
 count expected from false positives (the language's fill to the power of the number of hashes) is
 taken out, and the largest corrected share decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, durable
 
 #: Lengths of the n-grams, and the least share of a language's n-grams of a length.
 SIZES = (3, 4)
 MIN_RATE = 5e-5
 SLOTS, HASHES = 1 << 21, 3
-#: Languages that a table holds; the most frequent ones are learned.
-MAX_LANGUAGES = 64
+#: Languages that a table holds (bits of a mask); there are as many tables as the languages need.
+GROUP = 64
 UNKNOWN = "und"
 #: Characters counted or scored together; bounds a worker's memory.
 PART = 1 << 21
+#: Texts times languages scored together, for the same end.
+CELLS = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -67,13 +69,13 @@ def ngrams(c: np.ndarray, size: int) -> np.ndarray:
     return _mix(h[ok])
 
 
-def _parts(texts: Iterator[tuple[object, str]]) -> Iterator[list[tuple[object, np.ndarray]]]:
+def _parts(texts: Iterator[tuple[object, str]], most: int = PART) -> Iterator[list[tuple[object, np.ndarray]]]:
     held, size = [], 0
     for key, text in texts:
         c = code_points(text)
         held.append((key, c))
         size += len(c)
-        if size >= PART:
+        if size >= PART or len(held) >= most:
             yield held
             held, size = [], 0
     if held:
@@ -88,9 +90,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = ((lang, t.as_py()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
         for part in _parts(rows):
-            for lang in {k for k, _ in part}:
+            of: dict[str, list[np.ndarray]] = {}
+            for lang, c in part:
+                of.setdefault(lang, []).append(c)
+            for lang, texts in of.items():
                 for size in SIZES:
-                    gram, n = np.unique(np.concatenate([ngrams(c, size) for k, c in part if k == lang]), return_counts=True)
+                    gram, n = np.unique(np.concatenate([ngrams(c, size) for c in texts]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), size)), pa.array(gram.view(np.int64)), pa.array(n)], schema=_COUNTS)
 
 
@@ -99,23 +104,34 @@ def slots_of(gram: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """The learned table: ``table`` (a mask for each slot) and ``languages`` by bit."""
-
-    def __init__(self, grams: dict[str, np.ndarray]):
-        self.languages = sorted(grams)
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.languages) <= np.iinfo(t).bits)
-        self.table = np.zeros(SLOTS, kind)
-        for bit, lang in enumerate(self.languages):
-            for at in slots_of(grams[lang]):
-                np.bitwise_or.at(self.table, at, kind(1 << bit))
-        fill = [np.count_nonzero(self.table >> kind(b) & kind(1)) / SLOTS for b in range(len(self.languages))]
+    """The learned ``tables`` (a mask for each slot): bit ``b`` of table ``g`` is language ``g * GROUP + b``.
+
+    ``groups`` gives the n-grams of at most GROUP languages at a time, all in the order of their names.
+    """
+
+    def __init__(self, groups: Iterable[dict[str, np.ndarray]]):
+        self.languages: list[str] = []
+        self.tables: list[np.ndarray] = []
+        fill: list[float] = []
+        for grams in groups:
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(grams) <= np.iinfo(t).bits)
+            table = np.zeros(SLOTS, kind)
+            for bit, gram in enumerate(grams.values()):
+                for at in slots_of(gram):
+                    np.bitwise_or.at(table, at, kind(1 << bit))
+            fill += [np.count_nonzero(table >> kind(b) & kind(1)) / SLOTS for b in range(len(grams))]
+            self.languages += grams
+            self.tables.append(table)
         self.false = np.array(fill) ** HASHES
 
-    def containing(self, gram: np.ndarray) -> np.ndarray:
-        """For each n-gram the mask of the languages that contain it (or seem to)."""
+    def containing(self, gram: np.ndarray, group: int = 0) -> np.ndarray:
+        """For each n-gram the mask of the languages of a table that contain it (or seem to)."""
+        return self._masks(slots_of(gram), group)
+
+    def _masks(self, slots: list[np.ndarray], group: int) -> np.ndarray:
         out = None
-        for at in slots_of(gram):
-            hit = self.table[at]
+        for at in slots:
+            hit = self.tables[group][at]
             out = hit if out is None else out & hit
         return out
 
@@ -126,12 +142,14 @@ class Filters:
         for size in SIZES:
             grams = [ngrams(c, size) for c in part]
             n = np.array([len(g) for g in grams])
-            mask = self.containing(np.concatenate(grams))
+            slots = slots_of(np.concatenate(grams))
             total += n
             ends = np.concatenate(([0], np.cumsum(n)))
-            for b in range(len(self.languages)):
-                run = np.concatenate(([0], np.cumsum(mask >> self.table.dtype.type(b) & self.table.dtype.type(1), dtype=np.int64)))
-                count[:, b] += run[ends[1:]] - run[ends[:-1]]
+            for group, table in enumerate(self.tables):
+                mask, kind = self._masks(slots, group), table.dtype.type
+                for at in range(group * GROUP, min(len(self.languages), (group + 1) * GROUP)):
+                    run = np.concatenate(([0], np.cumsum(mask >> kind(at % GROUP) & kind(1), dtype=np.int64)))
+                    count[:, at] += run[ends[1:]] - run[ends[:-1]]
         share = count / np.maximum(total, 1)[:, None]
         return np.clip((share - self.false) / (1 - self.false), 0, 1)
 
@@ -139,14 +157,19 @@ class Filters:
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the rows of ``df`` with a text and a language; all such rows are counted."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    counts = rows.where(F.col("lang").isin(names)).mapInArrow(_count, "lang string, size long, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    counts = rows.mapInArrow(_count, "lang string, size long, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    # at most 1 / MIN_RATE n-grams for each language and length, of at most MAX_LANGUAGES languages
-    kept = counts.join(F.broadcast(total), ["lang", "size"]).where(F.col("n") >= F.col("total") * MIN_RATE).select("lang", "gram").toPandas()
-    grams = {name: np.zeros(0, np.uint64) for name in names}
-    grams |= {name: g.to_numpy(dtype=np.int64).view(np.uint64) for name, g in kept.groupby("lang")["gram"]}
-    return Filters(grams)
+    # at most 1 / MIN_RATE n-grams for each language and length; the driver holds those of GROUP languages at a time
+    kept = counts.join(F.broadcast(total), ["lang", "size"]).where(F.col("n") >= F.col("total") * MIN_RATE).select("lang", "gram")
+    if len(names) > GROUP:
+        kept = durable(kept)
+
+    def grams(group: list[str]) -> dict[str, np.ndarray]:
+        got = (kept.where(F.col("lang").isin(group)) if len(names) > GROUP else kept).toPandas()
+        return {name: np.zeros(0, np.uint64) for name in group} | {name: g.to_numpy(dtype=np.int64).view(np.uint64) for name, g in got.groupby("lang")["gram"]}
+
+    return Filters(grams(names[i : i + GROUP]) for i in range(0, len(names), GROUP))
 
 
 def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
@@ -161,7 +184,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
         f = shared.value
         pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         if f.languages:
-            for part in _parts((i, t) for i, t in enumerate(texts) if t):
+            for part in _parts(((i, t) for i, t in enumerate(texts) if t), max(1, CELLS // len(f.languages))):
                 part = [(i, c) for i, c in part if len(c) > 1]  # the space alone: no letter
                 if part:
                     share = f.shares([c for _, c in part])

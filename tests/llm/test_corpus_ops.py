@@ -108,6 +108,17 @@ def test_language_id(spark):
             assert (mask >> np.uint8(filters.languages.index(lang)) & np.uint8(1)).all()
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(140)}
+    # the last ones are the rarest
+    data = [(1000 * k + j, " ".join(rng.choice(w) for _ in range(12)), lang, "s", 0) for k, (lang, w) in enumerate(words.items()) for j in range(3 if k < 70 else 2)]
+    df = spark.createDataFrame(data, DOCS)
+    filters = langid.learn(df)
+    assert filters.languages == sorted(words)
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.3 for r in langid.predict(df, filters).collect())
+
+
 def test_ordinal_regression(spark):
     rng = random.Random(8)
     mixed = lambda good: " ".join(rng.choice(["fine", "text", "words", "here"]) for _ in range(20)) + good
