@@ -31,9 +31,23 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CARD_INSIDE = re.compile(r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{1,7}(?![0-9])")
 _PHONE_INSIDE = re.compile(r"\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+_IBAN_GROUP = re.compile(r"\x20?[A-Z0-9]{4}")
+_IBAN_TAIL = re.compile(r"\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9])")
+_IBAN_END = re.compile(r"(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
+#: Characters of an IBAN by country, from the ISO 13616 registry.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 #: Score before context, and the words within CONTEXT characters that raise or lower it.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT = 40
@@ -67,6 +81,32 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs in groups of four, spaced or not, from the left; a start without one hides none behind it.
+
+    A word after an IBAN may look like one more group or the last, short one, so an IBAN ends where
+    its country's length says. The longest proposal is tried for other lengths, and for countries
+    without a known length every group's end, the longest first.
+    """
+    m = _IBAN_START.search(text)
+    while m:
+        start, at, ends = m.start(), m.end(), []
+        for groups in range(1, 8):
+            g = _IBAN_GROUP.match(text, at)
+            if not g:
+                break
+            at = g.end()
+            if groups >= 2:
+                ends += [x.end() for x in (_IBAN_END.match(text, at), _IBAN_TAIL.match(text, at)) if x]
+        n = IBAN_LENGTH.get(text[start : start + 2])
+        if n:
+            ends = [*ends[-1:], *(e for e in ends if len(text[start:e].replace(" ", "")) == n)]
+        end = next((e for e in reversed(ends) if iban_ok(text[start:e])), None)
+        if end:
+            yield start, end
+        m = _IBAN_START.search(text, end or m.end())
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -113,7 +153,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     out = [(k, s, e, _score(text, k, s, e), True) for k, s, e in good]
     more = [(k, s + m.start(), s + m.end()) for k, s, e in bad if k in ("card", "phone") for m in (_CARD_INSIDE if k == "card" else _PHONE_INSIDE).finditer(text[s:e])]
     more = [x for x in more if x[0] == "phone" or 13 <= len(d := _digits(text[x[1] : x[2]])) <= 19 and luhn(d)]
-    more += [("iban", *m.span()) for m in _IBAN.finditer(text) if iban_ok(m.group())]
+    more += [("iban", *x) for x in _ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out += [(k, s, e, p, False) for k, s, e in more if (p := _score(text, k, s, e)) >= LEAST_ADDED]
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))

@@ -41,6 +41,23 @@ def test_validators_context_and_added_spans():
     assert pii.find_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_ibans_before_other_words():
+    at, es, de, pl = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "PL61 1090 1014 0000 0712 1981 2874"
+    for iban in (at, es, de, pl, "NO93 8601 1117 947", "BE68 5390 0754 7034", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        assert pii.iban_ok(iban) and len(iban.replace(" ", "")) == pii.IBAN_LENGTH[iban[:2]]
+        for form in (iban, iban.replace(" ", "")):
+            for after in ("", " ", ".", " EUR", " BIC", " 7", " BANK", " 2024", " BANK 2024", " BANK EUR", " BIC COBADEFF", " 2024 2025 2026 2027 2028", " and", ", EUR"):
+                for before in ("", "to ", "AB12 CDEF "):
+                    t = before + form + after
+                    assert [t[s:e] for k, s, e, *_ in pii.find_spans(t) if k == "iban"] == [form], t
+    assert pii.redact_text(f"pay {at} EUR or {es} BANK") == "pay <IBAN> EUR or <IBAN> BANK"
+    # no country's code: mod 97 at the ends of groups
+    check = next(f"{c:02}" for c in range(2, 99) if pii.iban_ok(f"ZZ{c:02} 1234 5678 9012 3456"))
+    assert [e for k, _, e, *_ in pii.find_spans(f"ZZ{check} 1234 5678 9012 3456 KONTO")] == [24]
+    assert not [x for x in pii.find_spans("AT62 1904 3002 3457 3201 EUR") if x[0] == "iban"]
+    assert not [x for x in pii.find_spans("AT611904300234573201x") if x[0] == "iban"]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     data = [(1, "mail a.b@c.de now", 17, "x"), (2, None, 4, None), (None, "clean", 5, "z"), (3, "", 0, None)]
     df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, spans string")
