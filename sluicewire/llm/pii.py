@@ -29,7 +29,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CARD_INSIDE = re.compile(r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{1,7}(?![0-9])")
+_DIGIT_GROUP = re.compile(r"[0-9]+")
+#: Where cards of so many digits are parted; one parted elsewhere counts only near a telling word.
+CARD_PARTS = ((range(13, 20), {4, 8, 12, 16}), ((14, 15), {4, 10}), ((19,), {6}))
 _PHONE_INSIDE = re.compile(r"\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})")
 _IBAN_GROUP = re.compile(r"\x20?[A-Z0-9]{4}")
@@ -81,6 +83,49 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _cards_inside(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole digit groups in a failed proposal that are card numbers; they may overlap.
+
+    All runs parted as cards are count. Of others, near a telling word (which is outside of the
+    proposal), the longest from each group on does.
+    """
+    if sum(c.isdigit() for c in text[start:end]) < 13:
+        return
+    groups = [(start + m.start(), start + m.end()) for m in _DIGIT_GROUP.finditer(text[start:end])]
+    told = _near(text, start, end) & set(RAISES["card"])
+    for i, (first, _) in enumerate(groups):
+        digits, parts, odd = "", set(), None
+        for a, last in groups[i : i + 19]:
+            if digits:
+                parts.add(len(digits))
+            digits += text[a : min(last, a + 20)]
+            n = len(digits)
+            if n > 19:
+                break
+            usual = any(n in lengths and parts <= at for lengths, at in CARD_PARTS)
+            if n >= 13 and (usual or told) and luhn(digits):
+                if usual:
+                    yield first, last
+                else:
+                    odd = last
+        if odd and _near(text, first, odd) & told:
+            yield first, odd
+
+
+def _phone_inside(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The phone number at the start of a failed proposal: a North American one, or as many whole groups as one has digits for."""
+    if m := _PHONE_INSIDE.match(text, start, end):
+        return m.span()
+    n, best = 0, None
+    for m in _DIGIT_GROUP.finditer(text, start, end):
+        n += m.end() - m.start()
+        if n > 15:
+            break
+        if n >= 9:
+            best = m.end()
+    return (start, best) if best else None
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
     """IBANs in groups of four, spaced or not, from the left; a start without one hides none behind it.
 
@@ -141,8 +186,12 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     return good, bad
 
 
+def _near(text: str, start: int, end: int) -> set[str]:
+    return {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT) : start]) + _WORD.findall(text[end : end + CONTEXT])}
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT) : start]) + _WORD.findall(text[end : end + CONTEXT])}
+    near = _near(text, start, end)
     up, down = near & set(RAISES[kind]), near & set(LOWERS.get(kind, ()))
     return round(min(1.0, max(0.0, BASE_SCORE[kind] + 0.3 * bool(up) - 0.3 * bool(down))), 3)
 
@@ -151,8 +200,8 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     """All spans (kind, start, end, score, base) in code points, ordered by kind as in KINDS, then start."""
     good, bad = base_spans(text)
     out = [(k, s, e, _score(text, k, s, e), True) for k, s, e in good]
-    more = [(k, s + m.start(), s + m.end()) for k, s, e in bad if k in ("card", "phone") for m in (_CARD_INSIDE if k == "card" else _PHONE_INSIDE).finditer(text[s:e])]
-    more = [x for x in more if x[0] == "phone" or 13 <= len(d := _digits(text[x[1] : x[2]])) <= 19 and luhn(d)]
+    more = [("card", *x) for k, s, e in bad if k == "card" for x in _cards_inside(text, s, e)]
+    more += [("phone", *x) for k, s, e in bad if k == "phone" and (x := _phone_inside(text, s, e))]
     more += [("iban", *x) for x in _ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out += [(k, s, e, p, False) for k, s, e in more if (p := _score(text, k, s, e)) >= LEAST_ADDED]

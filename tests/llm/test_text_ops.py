@@ -41,6 +41,24 @@ def test_validators_context_and_added_spans():
     assert pii.find_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_cards_and_phones_inside_failed_proposals():
+    found = lambda t, kind: [t[s:e] for k, s, e, *_ in pii.find_spans(t) if k == kind]
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "378282246310005", "3056 930902 5904", "6304 0000 0000 0000 000"):
+        assert pii.luhn(pii._digits(card))
+        for before, after in (("2024 ", ""), ("", " 2023"), ("2024-01-01 ", " 17"), ("7 7 7 ", " 0000 1"), ("1234567890123456789012 ", "")):
+            t = "x " + before + card + after + " y"
+            assert any(card in x for x in found(t, "card")), t
+            assert card not in pii.redact_text(t)
+    # parted in no usual way: only near a telling word
+    assert found("x 9999 41 11 11 11 11 11 11 11 9999 y", "card") == []
+    assert any("41 11 11 11 11 11 11 11" in x for x in found("visa 9999 41 11 11 11 11 11 11 11 9999 y", "card"))
+    assert found("2024 4111 1111 1111 1112 y", "card") == [] and found("1" * 20, "card") == []
+    assert found("+44 20 7946 0958 2024-01-01", "phone") == ["+44 20 7946 0958"]
+    assert found("tel +49 (30) 901820 123 4111 1111 1111 1111", "phone") == ["+49 (30) 901820 123"]
+    assert found("+1 578 555 6437 2024-01-01", "phone") == ["+1 578 555 6437"]
+    assert found("+4420794609582024", "phone") == [] and found("+44 2079", "phone") == []
+
+
 def test_ibans_before_other_words():
     at, es, de, pl = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "PL61 1090 1014 0000 0712 1981 2874"
     for iban in (at, es, de, pl, "NO93 8601 1117 947", "BE68 5390 0754 7034", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
