@@ -34,10 +34,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once or more: a row for each pass of its source that takes it.
 
+    Shares and budgets are in the ids that packing will pack.
     Inside a partition passes follow each other, in the order of their permuted blocks, so that
     repeats of a document don't meet in a sequence.
     """
-    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"))
+    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), tokens=mixing.id_count(F.col("text")))
     return mixed.sortWithinPartitions("mix_pass", "mix_rank").select("_doc.*")
 
 

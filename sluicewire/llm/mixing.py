@@ -15,10 +15,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_WORD, documents, durable
+from .tokens import word_tokenizer
 
 BLOCKS = 256
 #: A plan of at most so many rows (a few MB) is broadcast; a larger one is joined by shuffling.
@@ -32,6 +34,16 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(ASCII_WORD)), F.lit(0)).cast("long")
 
 
+def id_count(text: Column) -> Column:
+    """Ids of the tokenizer that packing uses; null has none."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        tokenizer = word_tokenizer()
+        return pd.Series([len(tokenizer.encode(t or "")) // 4 for t in texts], dtype="int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 @dataclass(frozen=True)
 class Target:
     """``entropy``: of the weights, as a part (0 to 1) of that of uniform ones; None for no target."""
@@ -75,19 +87,20 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def _keyed(df: DataFrame, key: str, text: str, source: str) -> list[Column]:
+def _keyed(df: DataFrame, key: str, text: str, source: str, tokens: Column | None = None) -> list[Column]:
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     return [
         _source_key(F.col(source)).alias("_s"),
         F.pmod(F.xxhash64(k, F.xxhash64(text), F.lit(SEED)), F.lit(BLOCKS)).cast("int").alias("_block"),
         F.xxhash64(k, F.xxhash64(text), F.lit(SEED + 1)).alias("_u"),
-        token_count(F.col(text)).alias("_tokens"),
+        (token_count(F.col(text)) if tokens is None else tokens).alias("_tokens"),
     ]
 
 
-def plan(df: DataFrame, target: Target, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan(df: DataFrame, target: Target, key: str = "doc_id", text: str = "text", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """For each source and block: weight, passes (whole ones), extra (all, none, or those with ``_u <= cut``), rank."""
-    rows = df.select(*_keyed(df, key, text, source))
+    # four numbers and a source a document; counted once
+    rows = durable(df.select(*_keyed(df, key, text, source, tokens)))
     blocks = durable(rows.groupBy("_s", "_block").agg(F.sum("_tokens").alias("t")))
     totals = blocks.groupBy("_s").agg(F.sum("t").alias("tokens"))
     full = totals.where("tokens > 0")
@@ -113,18 +126,19 @@ def plan(df: DataFrame, target: Target, key: str = "doc_id", text: str = "text",
     return durable(decided.join(cuts, ["_s", "_block"], "left").select("_s", "_block", "weight", "passes", "extra", "cut", "rank"))
 
 
-def mix(df: DataFrame, target: Target | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(df: DataFrame, target: Target | None = None, key: str = "doc_id", text: str = "text", source: str = "source", tokens: Column | None = None) -> DataFrame:
     """The rows of ``df``, each once for every pass that takes it, with mix_weight, mix_pass, mix_rank, mix_tokens.
 
+    ``tokens`` counts those of a row; without it they are words between ASCII white space.
     Order by (mix_pass, mix_rank) within a source to follow its block permutations. Every row is in
     at least one pass; the partial pass never exceeds its budget; rows equal in key and text go
     together. Null sources are a source; null texts have no tokens; a source without tokens passes
     once at weight 0. An empty table gives no rows.
     """
-    decided = plan(df, target or Target(), key, text, source)
+    decided = plan(df, target or Target(), key, text, source, tokens)
     if decided.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         decided = F.broadcast(decided)
-    rows = df.select(F.struct(*df.columns).alias("_row"), *_keyed(df, key, text, source)).join(decided, ["_s", "_block"])
+    rows = df.select(F.struct(*df.columns).alias("_row"), *_keyed(df, key, text, source, tokens)).join(decided, ["_s", "_block"])
     more = F.when(F.col("extra") == "all", 1).when((F.col("extra") == "part") & (F.col("_u") <= F.col("cut")), 1).otherwise(0)
     return rows.select("_row", "weight", F.explode(F.sequence(F.lit(1), F.col("passes") + more)).alias("mix_pass"), "rank", "_tokens").select("_row.*", F.col("weight").alias("mix_weight"), "mix_pass", F.col("rank").alias("mix_rank"), F.col("_tokens").alias("mix_tokens"))
 

@@ -4,7 +4,8 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from sluicewire.llm import registry
+from sluicewire.llm import mixing, registry
+from sluicewire.llm.tokens import word_tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -33,6 +34,19 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(ids)
 
 
+def test_mixing_counts_the_ids_that_are_packed(spark):
+    rng = random.Random(2)
+    unspaced = lambda: "".join(rng.choice("0123456789漢字仮名交") for _ in range(300))
+    # the unspaced source has a word a document, but most ids
+    data = [(i, unspaced(), "l", "unspaced", 0, None) for i in range(100)] + [(1000 + i, "a few plain words", "l", "words", 0, None) for i in range(100)]
+    docs = spark.createDataFrame(data, DOCS)
+    ids = docs.select("doc_id", mixing.id_count(docs["text"]).alias("n")).toPandas().set_index("doc_id")["n"]
+    assert all(ids[d] == len(word_tokenizer().encode(t)) // 4 for d, t, *_ in data)
+    got = [r["doc_id"] for r in cp.mix_sources(spark, docs, "").collect()]
+    assert set(got) == {d for d, *_ in data}
+    assert sum(d < 1000 for d in got) == 100 and 140 <= sum(d >= 1000 for d in got) <= 150
+
+
 def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "SimHash near-dedup", "PII", "mixing sources", "packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
