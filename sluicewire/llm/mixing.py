@@ -1,8 +1,9 @@
 """Mixing sources to target weights by temperature.
 
-Weights are the sources' token shares to a power between 0 (uniform) and 1 (as they are). The power
-is bisected: the largest that reaches a target entropy, but no smaller than the repetition limit
-allows (the most repeated source's passes over the least repeated one's). Weights are realised
+Weights are the sources' token shares to a power between 0 (uniform) and 1 (as they are). The
+repetition limit (the most repeated source's passes over the least repeated one's) sets the least
+power, in closed form; without a target entropy, as in op8_mixing and the pipeline, that is the
+power. With one, the power is bisected from there: the largest that reaches the entropy. Weights are realised
 without losing a document: the least repeated source passes once, others more often, and the last,
 partial pass of a source takes blocks of documents in a permuted order up to its token budget.
 
