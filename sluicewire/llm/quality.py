@@ -41,13 +41,15 @@ def _slot(name: str) -> int:
 
 
 def _shape(token: str) -> str:
-    """Runs of one kind of character as one sign: A upper, a other letters, 9 digits, else itself."""
+    """Runs of one kind of character as one sign: A upper, a other letters, 9 digits, else itself; the first 8 signs."""
     out = ""
-    for c in token[:64]:
+    for c in token:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if out[-1:] != s:
             out += s
-    return out[:8]
+            if len(out) == 8:
+                break
+    return out
 
 
 def _token(token: str) -> tuple[int, str]:

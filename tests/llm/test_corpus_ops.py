@@ -119,6 +119,11 @@ def test_more_languages_than_a_mask_has_bits(spark):
     assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.3 for r in langid.predict(df, filters).collect())
 
 
+def test_shapes_of_long_tokens():
+    assert quality._shape("x" * 100 + "7" * 5000 + "=") == "a9="
+    assert quality._shape("Ab1-" * 100) == "Aa9-Aa9-" and quality._shape("") == ""
+
+
 def test_ordinal_regression(spark):
     rng = random.Random(8)
     mixed = lambda good: " ".join(rng.choice(["fine", "text", "words", "here"]) for _ in range(20)) + good
