@@ -14,9 +14,10 @@ which a budget ends looks at its documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +39,15 @@ def token_count(text: Column) -> Column:
 def id_count(text: Column) -> Column:
     """Ids of the tokenizer that packing uses; null has none."""
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = word_tokenizer()
-        return pd.Series([len(tokenizer.encode(t or "")) // 4 for t in texts], dtype="int64")
+        for texts in batches:
+            yield pa.array([len(tokenizer.encode(t.as_py() or "")) // 4 for t in texts], pa.int64())
+        # the worker lives on in later stages, which start with nothing remembered
+        tokenizer.chunks.clear()
+        tokenizer.pieces.clear()
 
-    return F.pandas_udf(run, "long")(text)
+    return F.arrow_udf(run, "long")(text)
 
 
 @dataclass(frozen=True)
