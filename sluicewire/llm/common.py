@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that ends a word in every contract here: space and \t \n \v \f \r.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
@@ -14,16 +15,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage, in the folder that all executors share.
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that is none of ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(df: DataFrame, result: Column, fields: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``df`` and the ``fields`` of the struct ``result``, computed once.
+
+    A column of ``df`` with the name of a field gives way to it.
+    """
+    out = {f.lower() for f in fields}
+    rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in out]
+    got = spare(df.columns, "_result")
+    return df.select(*map(named, rest), result.alias(got)).select(*map(named, rest), *[F.col(f"{got}.{f}") for f in fields])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (single-machine
-    tests) a temporary folder of this machine is set instead.
+    Without that setting only a local master, whose one machine holds all, gets a temporary folder;
+    a cluster would lose what it writes there, so it must name one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    place = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="sluicewire-ckpt-")
     if not sc.getCheckpointDir():
-        place = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluicewire-ckpt-")
         sc.setCheckpointDir(place)
+    return place
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage, in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pandas as pd
 import pytest
@@ -122,10 +123,113 @@ def test_media_reads_vbr_tables_and_other_layers():
     assert media.parse_header(bytes((0xFF, 0xFB, 0xF0, 0x00))) is None
 
 
+MARKS = (b"TAG", b"ID3\4\0\0\0\0\0\x10", b"Info", b"Xing", b"VBRI", b"\xff\xfa\xc4\xc0", b"\xff\xfb\x90\0", media._LEAD)
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_payloads_may_hold_tags_and_headers_anywhere(mark):
+    for blocks in (1, 2):
+        for at in range(576 * blocks - len(mark) + 1):
+            data = (b"x" * at + mark).ljust(576 * blocks, b"y")
+            audio = media.encode(data)
+            p = media.probe(audio)
+            assert media.payload(audio, p.offsets) == data and (p.skipped, p.checksums_bad, p.tags) == (0, 0, {"payload_bytes": str(len(data))})
+
+
+def crc_of_bits(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15 ^ bit) & 1 else 0)
+    return crc
+
+
+def bits_of(data):
+    return [b >> i & 1 for b in data for i in range(7, -1, -1)]
+
+
+def test_media_checksums_of_layers_one_and_two():
+    rng = random.Random(7)
+    # Layer I at 48 kHz: stereo, joint from subband 8, mono; 4 bits for each allocation
+    for mode, bits in ((0x00, 256), (0x50, 8 * 8 + 24 * 4), (0xC0, 128)):
+        head = bytes((0xFF, 0xFE, 0xC4, mode))
+        body = rng.randbytes(media.parse_header(head).length - 6)
+        crc = crc_of_bits(bits_of(head[2:]) + bits_of(body)[:bits])
+        for damage, bad in ((0, 0), (1, 2)):
+            frame = head + (crc ^ damage).to_bytes(2) + body
+            p = media.probe(frame * 2)
+            assert (p.frames, p.layer, p.checksums, p.checksums_bad) == (2, 1, 2, bad)
+    # Layer II, 192 kbit/s stereo at 48 kHz: 27 subbands, then two bits for each used channel
+    head = bytes((0xFF, 0xFC, 0xA4, 0x00))
+    body = rng.randbytes(media.parse_header(head).length - 6)
+    every, x, used = bits_of(body), 0, 0
+    for n in [4] * 11 + [3] * 12 + [2] * 4:
+        for _ in range(2):
+            used += any(every[x : x + n])
+            x += n
+    crc = crc_of_bits(bits_of(head[2:]) + every[: x + 2 * used])
+    assert media.probe((head + crc.to_bytes(2) + body) * 2).checksums_bad == 0
+    assert media.probe((head + crc.to_bytes(2) + bytes([body[0] ^ 16]) + body[1:]) * 2).checksums_bad == 2
+
+
+def test_media_reads_older_tags_and_seek_tables():
+    frame = media._LEAD + bytes(media.BLOCK) + media._REST
+    tail = b"TT2" + (4).to_bytes(3) + b"\0abc" + b"TXX" + (6).to_bytes(3) + b"\0k\0\xff\0z"
+    raw = b"ID3\2\0\x80" + media._syncsafe(len(tail)) + tail
+    p = media.probe(raw + frame * 2)
+    assert p.frames == 2 and p.tags["TT2"] == "abc" and p.skipped == 0
+    own = b"\0\xff\0\xe0x"  # a frame that was unsynchronised by itself
+    tail = b"TIT2" + media._syncsafe(len(own)) + b"\0\2" + own
+    p = media.probe(b"ID3\4\0\0" + media._syncsafe(len(tail)) + tail + frame * 2)
+    assert p.tags == {"TIT2": "\xff\xe0x"} and p.frames == 2
+    audio = media.encode(bytes(3000))
+    p = media.probe(audio)
+    assert len(p.table_seek) == 100 and p.table_seek == sorted(p.table_seek) and p.table_seek[0] in range(600, 673)
+    # a seek entry leads to the frame it stands for, within a 256th of the table's bytes
+    first = p.offsets[0] - 672
+    assert all(abs(first + x - p.offsets[len(p.offsets) * i // 100]) <= p.table_bytes / 256 for i, x in enumerate(p.table_seek))
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    length = media.parse_header(head).length
+    vbri = head + bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4) + (3).to_bytes(4) + b"".join(x.to_bytes(2) for x in (3, 2, 2, 1, 100, 200, 300))
+    assert media.probe(vbri.ljust(length, b"\0") + (head + bytes(length - 4)) * 3).table_seek == [200, 600, 1200]
+
+
 def test_media_columns(spark):
-    df = spark.createDataFrame([(1, "héllo"), (2, None), (3, "")], "doc_id long, text string").select("doc_id", media.encode_column("text").alias("m"))
-    got = {r["doc_id"]: r for r in media.probe_table(df, "m", ["doc_id"]).collect()}
-    assert got[1]["tags"] == {"payload_bytes": "6"} and got[2]["frames"] == got[3]["frames"] == 1 and len(got[1]["offsets"]) == 1
+    ddl = "doc_id long, text string, frames string, _result int, `a.b` int"
+    df = spark.createDataFrame([(1, "héllo", "old", 5, 6), (2, None, None, None, None), (3, "", None, None, None), (3, "", None, None, None)], ddl).withColumn("m", media.encode_column("text"))
+    got = media.probe_table(df, "m")
+    assert got.columns == ["doc_id", "text", "_result", "a.b", "m", *media._PROBED]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[1]["tags"] == {"payload_bytes": "6"} and rows[2]["frames"] == rows[3]["frames"] == 1 and len(rows[1]["offsets"]) == 1 and (rows[1]["_result"], rows[1]["a.b"]) == (5, 6)
+    assert got.count() == 4 and media.probe_table(df.where("false"), "m", ["doc_id"]).count() == 0
+
+
+def stored_blocks(audio):
+    """An independent reader of this one form: a tag, a table frame, then frames of 672 bytes."""
+    assert audio[:3] == b"ID3"
+    at = 10 + (audio[6] << 21 | audio[7] << 14 | audio[8] << 7 | audio[9]) + 672
+    assert (len(audio) - at) % 672 == 0 and len(audio) > at
+    return [audio[x + 23 : x + 599] for x in range(at, len(audio), 672)]
+
+
+def test_media_query_recomputed(spark, tmp_path):
+    rng = random.Random(12)
+    letters = "aé漢🙂 \n"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 575, 576, 577, 4000, 300_000)] + ["x" * 521 + "TAG" + "y" * 52, "x" * 1097 + "TAG" + "y" * 52, None, "", "twice", "twice"]
+    ids = [*range(len(texts) - 2), 90, 90]
+    spark.createDataFrame([(i, t, "clash", 1) for i, t in zip(ids, texts)], "doc_id long, text string, media string, payload_bytes int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = media.op6_media_columns(spark, str(tmp_path)).collect()
+    audio = {r["t"]: bytes(r["m"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", media.encode_column("t").alias("m")).collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(ids)
+    for r in got:
+        text = texts[r["doc_id"]] if r["doc_id"] != 90 else "twice"
+        data = (text or "").encode()
+        want = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        stored = audio[text]
+        assert b"".join(stored_blocks(stored)) == want
+        assert tuple(r)[1:7] == (len(data), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert f"frames={len(want) // 576}:duration={len(want) // 576 * 1152}/48000:crc={len(want) // 576 + 1}/{len(want) // 576 + 1}:skipped=0:" in r["feature"]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert media.op6_media_columns(spark, str(tmp_path / "none")).count() == 0
 
 
 def brute(docs, window):
