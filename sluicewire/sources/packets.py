@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 ETHERNET, VLAN, IPV4 = 1, 0x8100, 0x0800
 _TCP_FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr")
@@ -69,34 +72,72 @@ class PcapError(ValueError):
     """The bytes are no capture file."""
 
 
-def packets(data: bytes, interface: str | None = None) -> Iterator[tuple[int, dict]]:
-    """(time in nanoseconds, fields) of each packet of a capture file (either byte order, micro- or nanoseconds).
+#: The first bytes of a capture file: byte order, and nanoseconds in a unit of its times.
+MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xa1\xb2\x3c\x4d": (">", 1)}
+HEADER = 24
+
+
+@dataclass(frozen=True)
+class Capture:
+    """What a capture file's header says."""
+
+    order: str
+    unit: int
+    link: int
+
+    @classmethod
+    def of(cls, header: bytes) -> Capture:
+        if header[:4] not in MAGIC or len(header) < HEADER:
+            raise PcapError("not a pcap file")
+        order, unit = MAGIC[header[:4]]
+        return cls(order, unit, struct.unpack_from(order + "I", header, 20)[0] & 0xFFFF)
 
-    A packet cut off at the end of the file ends the file.
+
+def raw_packets(file: BinaryIO, capture: Capture, at: int = HEADER, stop: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(position after it, time in nanoseconds, length on the wire, bytes) of the packets from ``at`` on, that start before ``stop``.
+
+    ``file`` stands at ``at``, the start of a packet. Only one packet is held at a time; one that is
+    cut off at the end of the file ends it.
     """
-    magic = data[:4]
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">"}.get(magic)
-    if order is None or len(data) < 24:
-        raise PcapError("not a pcap file")
-    scale = 1 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1000
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    at, head = 24, struct.Struct(order + "IIII")
-    while at + 16 <= len(data):
-        sec, sub, captured, length = head.unpack_from(data, at)
-        at += 16
-        if at + captured > len(data):
+    head = struct.Struct(capture.order + "IIII")
+    while stop is None or at < stop:
+        record = file.read(16)
+        if len(record) < 16:
+            return
+        sec, sub, captured, length = head.unpack(record)
+        body = file.read(captured)
+        if len(body) < captured:
             return
-        ns = sec * 1_000_000_000 + sub * scale
-        fields = {"timestamp": ns / 1e9, "length": length, "captured_length": captured, "interface": interface}
-        if link == ETHERNET:
-            fields |= dissect(data[at : at + captured])
-        at += captured
-        yield ns, fields
+        at += 16 + captured
+        yield at, sec * 1_000_000_000 + sub * capture.unit, length, body
+
+
+def read_packets(file: BinaryIO, interface: str | None = None, capture: Capture | None = None, at: int = HEADER, stop: int | None = None) -> Iterator[tuple[int, dict]]:
+    """(time in nanoseconds, fields) of each packet of an open capture file (either byte order, micro- or nanoseconds).
+
+    With ``capture``, ``file`` stands at ``at`` behind the header.
+    """
+    capture = capture or Capture.of(file.read(HEADER))
+    for _, ns, length, body in raw_packets(file, capture, at, stop):
+        fields = {"timestamp": ns / 1e9, "length": length, "captured_length": len(body), "interface": interface}
+        yield ns, fields | dissect(body) if capture.link == ETHERNET else fields
+
+
+def packets(data: bytes, interface: str | None = None) -> Iterator[tuple[int, dict]]:
+    """The same of a capture file's bytes."""
+    return read_packets(io.BytesIO(data), interface)
+
+
+def file_header() -> bytes:
+    """The header of a capture file in nanoseconds, little-endian, of Ethernet frames."""
+    return struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, ETHERNET)
+
+
+def packet_record(ns: int, frame: bytes) -> bytes:
+    """A packet as it stands behind such a header."""
+    return struct.pack("<IIII", ns // 1_000_000_000, ns % 1_000_000_000, len(frame), len(frame)) + frame
 
 
 def write_pcap(frames: list[tuple[int, bytes]]) -> bytes:
-    """A capture file (nanoseconds, little-endian) of (time in nanoseconds, Ethernet frame)."""
-    out = [struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, ETHERNET)]
-    for ns, frame in frames:
-        out += [struct.pack("<IIII", ns // 1_000_000_000, ns % 1_000_000_000, len(frame), len(frame)), frame]
-    return b"".join(out)
+    """A capture file of (time in nanoseconds, Ethernet frame)."""
+    return file_header() + b"".join(packet_record(ns, frame) for ns, frame in frames)

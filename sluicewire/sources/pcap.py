@@ -1,12 +1,13 @@
 """Capture files as network events.
 
-Files are read whole by executors, one task for one or more files, and decoded there. A filter's
+Spark lists the files, and executors read them packet by packet, one task for one or more files. A filter's
 conjuncts on ports, addresses and protocol are pushed into the decoder, so packets that fail them are never made
 into rows; the whole filter is applied again after.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import NETWORK_ALIASES
 from ..lang import ast, parse_filter
 from ..operators.predicates import keep
-from .packets import FIELDS, packets
+from .packets import FIELDS, read_packets
+from .store import opened
 
 _ARROW = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 _DATA = pa.struct([(n, _ARROW[t]) for n, t in FIELDS])
@@ -94,24 +96,45 @@ def capture_filter(text: str) -> ast.Expr:
     return parse_filter(text)
 
 
-def read_pcap(spark: SparkSession, path: str, where: str | None = None, interface: str | None = None) -> DataFrame:
-    """Network events (type, timestamp_ns, ts, source, data) of the capture files at ``path``."""
+def read_pcap(spark: SparkSession, path: str, where: str | None = None, interface: str | None = None, whole: bool = False) -> DataFrame:
+    """Network events (type, timestamp_ns, ts, source, data) of the capture files at ``path``.
+
+    ``whole``: through Spark's reader of whole files (up to 2 GB each), for stores that Arrow's file
+    systems don't reach.
+    """
     expr = capture_filter(where) if where else None
     conjuncts = pushed(expr)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for ns, fields in packets(content.as_py(), interface):
-                    if all(any(fields.get(f) == v for f in names) for names, v in conjuncts):
-                        rows.append({"timestamp_ns": ns, "path": name, "data": fields})
-                        if len(rows) >= ROWS:
-                            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                            rows = []
+            contents = batch.column(1) if whole else [None] * batch.num_rows
+            for name, content in zip(batch.column(0).to_pylist(), contents, strict=True):
+                with io.BytesIO(content.as_py()) if whole else opened(name) as file:
+                    for ns, fields in read_packets(file, interface):
+                        if all(any(fields.get(f) == v for f in names) for names, v in conjuncts):
+                            rows.append({"timestamp_ns": ns, "path": name, "data": fields})
+                            if len(rows) >= ROWS:
+                                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                                rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, _DDL)
+    raw = spark.read.format("binaryFile").load(path).select("path", *(["content"] if whole else [])).mapInArrow(decode, _DDL)
+    return network_events(raw, expr)
+
+
+def network_events(raw: DataFrame, where: ast.Expr | None = None) -> DataFrame:
+    """The envelope of decoded packets (timestamp_ns, path, data), and their filter."""
     out = raw.select(F.lit("network").alias("type"), "timestamp_ns", F.timestamp_micros(F.expr("timestamp_ns div 1000")).alias("ts"), F.struct(F.lit("pcap").alias("type"), F.col("path").alias("name")).alias("source"), "data")
-    return keep(out, expr) if expr is not None else out
+    return keep(out, where) if where is not None else out
+
+
+def stream_pcap(spark: SparkSession, path: str, where: str | None = None, interface: str | None = None) -> DataFrame:
+    """The same as a stream of the packets that captures at ``path`` have and get."""
+    from .pcap_format import register
+
+    register(spark)
+    reader = spark.readStream.format("pcap")
+    flat = (reader.option("interface", interface) if interface else reader).load(path)
+    return network_events(flat.select("timestamp_ns", "path", F.struct(*[n for n, _ in FIELDS]).alias("data")), capture_filter(where) if where else None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lang import parse_filter
 from ..operators.predicates import keep
+from . import tail, udp
 from .formats import detect_format, event_time, parse_lines
 
 
@@ -28,7 +29,7 @@ def read_logs(spark: SparkSession, path: str, fmt: str | None = None, where: str
 def stream_logs(spark: SparkSession, path: str, fmt: str | None = None, where: str | None = None, name: str | None = None, pattern: str | None = None, year: int | None = None, max_files: int | None = None) -> DataFrame:
     """The same as a stream of the files that appear in the folder ``path``.
 
-    Spark follows files, not bytes appended to them: rotate into the folder, or ship lines by socket or Kafka.
+    It follows files, not bytes appended to them; for these see ``tail_logs``.
     """
     reader = spark.readStream
     if max_files:
@@ -36,6 +37,20 @@ def stream_logs(spark: SparkSession, path: str, fmt: str | None = None, where: s
     return _envelope(reader.text(path), fmt or detect_format(path), name or path, pattern, year, where)
 
 
+def tail_logs(spark: SparkSession, path: str, fmt: str | None = None, where: str | None = None, name: str | None = None, pattern: str | None = None, year: int | None = None, from_end: bool = False) -> DataFrame:
+    """The same as a stream of the lines that files at ``path`` have (or, ``from_end``, get from now on), as they grow."""
+    tail.register(spark)
+    lines = spark.readStream.format("tail").option("startingPosition", "end" if from_end else "start").load(path)
+    return _envelope(lines, fmt or detect_format(path), name or path, pattern, year, where)
+
+
+def stream_udp(spark: SparkSession, port: int, host: str = "0.0.0.0", fmt: str = "syslog", where: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Datagrams that the driver receives as a stream of lines."""
+    udp.register(spark)
+    lines = spark.readStream.format("udp").option("host", host).option("port", port).load()
+    return _envelope(lines, fmt, f"{host}:{port}", pattern, None, where)
+
+
 def stream_socket(spark: SparkSession, host: str, port: int, fmt: str = "syslog", where: str | None = None, pattern: str | None = None) -> DataFrame:
     """Lines of a TCP socket as a stream (for tests: Spark's socket source is not fault-tolerant)."""
     lines = spark.readStream.format("socket").option("host", host).option("port", port).load()

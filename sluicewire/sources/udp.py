@@ -1,0 +1,86 @@
+"""``spark.readStream.format("udp")``: datagrams, such as syslog ones, as lines.
+
+``register(spark)`` first. One socket on the driver receives, and keeps what isn't committed yet, so
+this suits what one machine can take; a larger flow goes through a relay to files or Kafka. UDP
+itself promises no delivery, and lines that were not committed are gone with the driver.
+
+Options: ``host``, ``port`` (0: any free one).
+"""
+
+from __future__ import annotations
+
+import socket
+import threading
+from collections import deque
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.types import StructType
+
+MAX_DATAGRAM = 65_535
+
+
+class UdpReader(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.host, self.port = options.get("host", "0.0.0.0"), int(options.get("port", 0))
+        self.lines: deque[tuple[int, str]] = deque()
+        self.received = 0
+        self.lock = threading.Lock()
+        self.socket: socket.socket | None = None
+
+    def listen(self) -> int:
+        """Binds the socket, once; its port."""
+        if self.socket is None:
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_RCVBUF, 1 << 22)
+            self.socket.bind((self.host, self.port))
+            threading.Thread(target=self._receive, daemon=True).start()
+        return self.socket.getsockname()[1]
+
+    def _receive(self) -> None:
+        while True:
+            data = self.socket.recv(MAX_DATAGRAM)
+            with self.lock:
+                for line in data.decode("utf-8", "replace").splitlines():
+                    self.lines.append((self.received, line))
+                    self.received += 1
+
+    def initialOffset(self) -> dict:
+        self.listen()
+        return {"line": 0}
+
+    def _between(self, start: int, end: int) -> list[tuple[str]]:
+        return [(line,) for n, line in self.lines if start <= n < end]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        self.listen()
+        with self.lock:
+            # after a restart lines are counted from zero again
+            at = min(start["line"], self.received)
+            return iter(self._between(at, self.received)), {"line": self.received}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
+        with self.lock:
+            return iter(self._between(start["line"], end["line"]))
+
+    def commit(self, end: dict) -> None:
+        with self.lock:
+            while self.lines and self.lines[0][0] < end["line"]:
+                self.lines.popleft()
+
+
+class UdpDataSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "udp"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def simpleStreamReader(self, schema: StructType) -> UdpReader:
+        return UdpReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(UdpDataSource)

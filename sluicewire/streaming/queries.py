@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.fields import quoted
+from ..functions.places import names, remove, shared_folder
 from ..functions.times import time_column
 from ..lang import ast, parse
+from ..operators.aggregates import aggregate
 from ..plans import compile_query, to_payload
 
 
@@ -53,43 +58,43 @@ def start(df: DataFrame, text: str, handler: Callable[[DataFrame, int], None] |
 class MergedAggregate:
     """Counts, sums, averages, minima and maxima of a streaming correlation without a window, merged over batches.
 
-    A stream-stream join only appends, so each batch's partial aggregate is added here: state grows
-    with the groups. Percentiles and distinct counts don't merge; give these a window. A batch that
-    is tried again replaces its own partial.
+    A stream-stream join only appends, so each batch's partial aggregate is added to the state of
+    the batch before, and both are tables in ``folder`` (in the shared folder, if not given; give one
+    to go on after a restart, as with the query's checkpoint): groups never pass through the
+    driver. A batch that is tried again starts from the same state, and replaces its own. Percentiles
+    and distinct counts don't merge; give these a window.
     """
 
-    def __init__(self, stage: ast.Aggregate):
+    def __init__(self, stage: ast.Aggregate, folder: str | None = None):
         if stage.window is not None or {f.name for f in stage.funcs} & {"percentile", "distinct"}:
             raise ValueError("only count, sum, avg, min and max without a window can be merged")
-        self.stage = stage
+        self.stage, self.folder = stage, folder
         fields = dict.fromkeys(f.field for f in stage.funcs if f.field)
         self.parts = ast.Aggregate((ast.Func("count"), *(ast.Func(n, f) for f in fields for n in ("sum", "min", "max"))), stage.by, stage.where)
-        self.batch: tuple[int, dict] = (-1, {})
-        self.groups: dict[tuple, dict] = {}
+
+    def _states(self, spark: SparkSession) -> list[int]:
+        """The batches whose state is there, in order."""
+        return [int(n) for n in names(spark, self.folder) if n.isdigit() and "_SUCCESS" in names(spark, f"{self.folder}/{n}")]
 
     def __call__(self, pairs: DataFrame, batch_id: int) -> None:
-        from ..operators.aggregates import aggregate
-
-        if batch_id != self.batch[0]:
-            self.groups = self.results_by_group()
-        rows = aggregate(pairs, self.parts)
-        keys = list(dict.fromkeys(self.stage.by))
-        self.batch = (batch_id, {tuple(r[k] for k in keys): {f.column: r[f.column] for f in self.parts.funcs} for r in rows.toLocalIterator()})
-
-    def results_by_group(self) -> dict[tuple, dict]:
-        out = {k: dict(v) for k, v in self.groups.items()}
-        for key, new in self.batch[1].items():
-            old = out.get(key)
-            out[key] = new if old is None else {c: (min if c.startswith("min_") else max if c.startswith("max_") else lambda a, b: a + b)(old[c], new[c]) for c in new}
-        return out
-
-    def results(self) -> list[dict]:
-        """A row for each group, with the asked functions."""
-        keys = list(dict.fromkeys(self.stage.by))
-        out = []
-        for group, parts in self.results_by_group().items():
-            row = dict(zip(keys, group, strict=True))
-            for f in dict.fromkeys(self.stage.funcs):
-                row[f.column] = parts[f.field] / parts["count"] if f.name == "avg" else parts[f.column]
-            out.append(row)
-        return out
+        spark = pairs.sparkSession
+        self.folder = self.folder or f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+        before = [b for b in self._states(spark) if b < batch_id]
+        keys, cols = [quoted(k) for k in dict.fromkeys(self.stage.by)], [f.column for f in self.parts.funcs]
+        now = aggregate(pairs, self.parts)
+        if before:
+            both = spark.read.parquet(f"{self.folder}/{before[-1]:020}").unionByName(now, allowMissingColumns=True)
+            merge = {"min": F.min, "max": F.max}
+            now = both.groupBy(*keys).agg(*[merge.get(f.name, F.sum)(quoted(f.column)).alias(f.column) for f in self.parts.funcs])
+        now.select(*keys, *map(quoted, cols)).write.mode("overwrite").parquet(f"{self.folder}/{batch_id:020}")
+        for old in before[:-1]:
+            remove(spark, f"{self.folder}/{old:020}")
+
+    def results(self, spark: SparkSession) -> DataFrame | None:
+        """A row for each group, with the asked functions; None before the first batch."""
+        there = self._states(spark) if self.folder else []
+        if not there:
+            return None
+        state = spark.read.parquet(f"{self.folder}/{there[-1]:020}")
+        asked = [(F.col(quoted(f.field)) / F.col("count") if f.name == "avg" else F.col(quoted(f.column))).alias(f.column) for f in dict.fromkeys(self.stage.funcs)]
+        return state.select(*[quoted(k) for k in dict.fromkeys(self.stage.by)], *asked)

@@ -158,3 +158,123 @@ def test_pcap_format(spark, tmp_path):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
     with pytest.raises(ValueError, match="path"):
         PcapReader({})
+
+
+def drained(stream, out):
+    """What a stream gives now, as rows of the batch handler; the query's offsets stay in ``out``."""
+    got = []
+    stream.writeStream.foreachBatch(lambda d, i: got.extend(d.collect())).option("checkpointLocation", str(out)).trigger(availableNow=True).start().awaitTermination()
+    return got
+
+
+def test_tail_follows_appended_lines(spark, tmp_path):
+    from sluicewire.sources.tail import Range, TailReader
+    from sluicewire.sources.text import tail_logs
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    a, b = logs / "a.log", logs / "b.log"
+    a.write_bytes(b"a=1\r\na=2\nhalf")
+    stream = lambda: tail_logs(spark, str(logs), "logfmt").selectExpr("try_variant_get(data, '$.a', 'int') a")
+    take = lambda: sorted(r["a"] for r in drained(stream(), tmp_path / "offsets"))
+    assert take() == [1, 2]
+    with a.open("ab") as f:
+        f.write(b" a=3\n")
+    b.write_bytes(b"a=4\n")
+    assert take() == [3, 4]
+    a.write_bytes(b"a=5\n")  # replaced by a shorter one
+    assert take() == [5]
+    assert take() == []
+    # every line is in one range, wherever ranges end
+    lines = [b"x" * (7 * i % 23) for i in range(200)]
+    b.write_bytes(b"\n".join(lines) + b"\n")
+    for chunk in (1, 7, 64, 10**6):
+        r = TailReader({"path": str(b), "maxBytesPerPartition": chunk})
+        end = r.latestOffset()
+        got = [x for p in r.partitions(r.initialOffset(), end) for batch in r.read(p) for x in batch.column(1).to_pylist()]
+        assert got == [x.decode() for x in lines]
+    r = TailReader({"path": str(logs / "b*"), "startingPosition": "end"})
+    assert r.partitions(r.initialOffset(), r.latestOffset()) == [] and list(r.initialOffset().values()) == [b.stat().st_size]
+    assert TailReader({"path": str(tmp_path / "none")}).latestOffset() == {}
+    assert r.partitions({str(b): 10}, {str(b): 4}) == [Range(str(b), 0, 4)]
+    with pytest.raises(ValueError, match="path"):
+        TailReader({})
+
+
+def test_captures_are_written_and_followed(spark, tmp_path):
+    from sluicewire.sources.pcap import stream_pcap
+    from sluicewire.sources.pcap_format import register
+
+    register(spark)
+    frames = [(10**9 * i, frame(6, "10.0.0.1", "10.0.0.2", dport=80 + i)) for i in range(20)]
+    df = spark.createDataFrame([(ns, bytearray(f)) for ns, f in frames], "timestamp_ns long, frame binary").repartition(3)
+    out = tmp_path / "caps"
+    df.write.format("pcap").mode("append").save(str(out))
+    assert sorted(r["data"]["tcp_dst_port"] for r in read_pcap(spark, str(out)).collect()) == list(range(80, 100))
+    assert read_pcap(spark, str(out), whole=True).count() == 20
+    take = lambda: sorted(r["data"]["tcp_dst_port"] for r in drained(stream_pcap(spark, str(out), "not dst port 85"), tmp_path / "offsets"))
+    assert take() == [p for p in range(80, 100) if p != 85]
+    one = next(out.glob("*.pcap"))
+    more = write_pcap([(1, frame(6, "10.0.0.1", "10.0.0.2", dport=200)), (2, frame(6, "10.0.0.1", "10.0.0.2", dport=201))])[24:]
+    with one.open("ab") as f:
+        f.write(more[:-5])  # the second packet isn't whole yet
+    assert take() == [200]
+    with one.open("ab") as f:
+        f.write(more[-5:])
+    assert take() == [201]
+    df.limit(2).write.format("pcap").mode("overwrite").save(str(out))
+    assert read_pcap(spark, str(out)).count() == 2
+    with pytest.raises(Exception, match="timestamp_ns"):
+        spark.range(3).write.format("pcap").mode("append").save(str(out))
+
+
+def test_udp_lines(spark):
+    import socket
+    import time
+
+    from sluicewire.sources.text import stream_udp
+    from sluicewire.sources.udp import UdpReader
+
+    r = UdpReader({"host": "127.0.0.1", "port": "0"})
+    assert r.initialOffset() == {"line": 0}
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    for text in (b"<34>one", b"<35>two\nthree"):
+        out.sendto(text, ("127.0.0.1", r.listen()))
+    for _ in range(100):
+        got, end = r.read({"line": 0})
+        if end["line"] == 3:
+            break
+        time.sleep(0.05)
+    assert [x[0] for x in got] == ["<34>one", "<35>two", "three"]
+    assert [x[0] for x in r.readBetweenOffsets({"line": 1}, {"line": 2})] == ["<35>two"]
+    r.commit({"line": 2})
+    assert len(r.lines) == 1 and r.read({"line": 9})[1] == {"line": 3}
+    stream = stream_udp(spark, 0, "127.0.0.1")
+    assert stream.isStreaming and stream.columns == ["type", "ts", "source", "data"]
+
+
+def test_flows(spark, tmp_path):
+    from sluicewire.operators.flows import flows
+
+    def tcp(src, dst, sport, dport, seq, flags, body=b""):
+        f = bytearray(frame(6, src, dst, body, sport, dport))
+        f[14 + 20 + 4 : 14 + 20 + 8] = seq.to_bytes(4)
+        f[14 + 20 + 13] = flags
+        return bytes(f)
+
+    c, s = "10.0.0.9", "10.0.0.1"
+    ms = 10**6
+    sent = [
+        (1 * ms, tcp(c, s, 5000, 80, 1, 0x02)), (4 * ms, tcp(s, c, 80, 5000, 9, 0x12)), (5 * ms, tcp(c, s, 5000, 80, 2, 0x10)),
+        (6 * ms, tcp(c, s, 5000, 80, 2, 0x18, b"ask")), (9 * ms, tcp(c, s, 5000, 80, 2, 0x18, b"ask")), (10 * ms, tcp(c, s, 5000, 80, 2, 0x18, b"ask")),
+        (12 * ms, tcp(s, c, 80, 5000, 2, 0x18, b"ask")), (2 * ms, frame(17, c, s, b"q", 7000, 53)), (8 * ms, frame(17, s, c, b"r", 53, 7000)), (3 * ms, frame(1, s, c)),
+    ]
+    (tmp_path / "a.pcap").write_bytes(write_pcap(sent))
+    got = {r["data"]["protocol"]: r for r in flows(read_pcap(spark, str(tmp_path))).collect()}
+    t = got["tcp"]["data"]
+    assert (tuple(t["client"]), tuple(t["server"]), t["packets"], t["latency_ms"], t["duration_ms"], t["tcp"]["retransmits"]) == ((c, 5000), (s, 80), 7, 3.0, 11.0, 2)
+    assert got["udp"]["data"]["latency_ms"] == 6.0 and got["udp"]["data"]["tcp"]["retransmits"] == 0
+    assert got["icmp"]["data"]["latency_ms"] is None and tuple(got["icmp"]["data"]["client"])[0] == s
+    slow = query(flows(read_pcap(spark, str(tmp_path))), "network.latency_ms > 2 AND network.tcp.retransmits >= 2 | show network.tcp.retransmits")
+    assert [r[0] for r in slow.collect()] == [2]
+    assert flows(read_pcap(spark, str(tmp_path)).where("false")).count() == 0

@@ -74,7 +74,16 @@ def test_correlation_without_window_is_merged_over_batches(spark, folder):
     stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(folder)
     start(stream, both, merged, once=True).awaitTermination()
     want = query(spark.read.parquet(folder), both + " | aggregate count(), avg(time_diff_ms), min(time_diff_ms) by left_event.kind").collect()[0].asDict()
-    got = merged.results()[0]
+    got = merged.results(spark).collect()[0]
     assert got["count"] == want["count"] and abs(got["avg_time_diff_ms"] - want["avg_time_diff_ms"]) < 1e-9 and got["min_time_diff_ms"] == want["min_time_diff_ms"]
+    # a batch tried again replaces its own state, and another object goes on from it
+    again = MergedAggregate(stage, merged.folder)
+    batches = again._states(spark)
+    pairs = query(spark.read.parquet(folder), both)
+    for _ in range(2):
+        again(pairs, batches[-1] + 1)
+    twice = again.results(spark).collect()[0]
+    assert twice["count"] == 2 * want["count"] and abs(twice["avg_time_diff_ms"] - want["avg_time_diff_ms"]) < 1e-9
+    assert MergedAggregate(stage).results(spark) is None and len(again._states(spark)) <= 3
     with pytest.raises(ValueError, match="windows"):
         start(spark.readStream.schema(DDL).parquet(folder), both + " | aggregate count()", merged)
