@@ -1,30 +1,34 @@
 """I-Match document fingerprints with randomised lexicon subsets, in DataFrame functions only.
 
 The lexicon holds the terms within a band of inverse document frequency over all documents. Terms
-are letter and digit runs in lower case, counted by a hash of 20 bits; since in-band terms have a
-least share of documents, the lexicon is bounded whatever the corpus, and fits a bitmap of fixed
-size that every expression carries. A text's distinct in-band terms are sorted, and split by hash
-into SUBSETS random parts of the lexicon; each part's sorted terms are hashed to 16 bits. A level
-takes one eighth of the terms of the one before, for long texts, whose parts would otherwise hold too many
-terms for any to survive an edit. The fingerprint is the hex digits of all levels.
+are letter and digit runs in lower case, told apart by 64-bit hashes and counted exactly. An in-band
+term is in at least ``MIN_SHARE`` of the documents, so there are at most the mean number of distinct
+terms of a document over ``MIN_SHARE`` of them, however many documents there are; expressions carry
+them as one table.
+
+A text's distinct in-band terms are sorted and dealt by hash over ``SUBSETS`` random subsets of the
+lexicon on each of ``LEVELS`` levels; the sorted terms of each are hashed to 16 bits. The subsets of
+a level are disjoint and random, so one edited term changes one digest a level, and not all as one
+hash of the whole lexicon would. A level draws one eighth of the lexicon of the one before: an edit
+leaves few of a long text's subsets of many terms alone, but many of those of few. The fingerprint
+is the digests of all levels, four hex digits each. A text without an in-band term has the blank one,
+all zeros.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions
+from .common import documents, named, shuffle_partitions, spare
 
 #: The band: terms in at least and at most such shares of the documents (idf of 6.2 and 3.0).
 MIN_SHARE, MAX_SHARE = 0.002, 0.05
-SLOTS = 1 << 20
 SUBSETS, LEVELS, LEVEL_BITS = 32, 3, 3
-EMPTY = "0000"
-#: A text with fewer in-band terms uses all its terms.
-FEW = 4
-#: A level is compared if at most so many of its subsets hold a term of either text.
-FULL_ENOUGH = 0.9 * SUBSETS
 
 
 def terms(text: Column) -> Column:
@@ -33,34 +37,52 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
 
 
-def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
+@dataclass(frozen=True)
+class Lexicon:
+    """Term hashes in a cuckoo table: ``h`` is at ``h % n``, or at ``n + h % (n + 1)``, or nowhere.
 
+    A free slot holds a number that belongs elsewhere, so a lookup is exact.
+    """
 
-def lexicon(df: DataFrame, text: str = "text") -> bytes:
-    """A bitmap (seven bits a byte) of the slots whose document frequency is in the band."""
+    n: int
+    slots: list[int]
+
+    @classmethod
+    def of(cls, found: list[int]) -> Lexicon:
+        n = max(2, 6 * len(found) // 5)
+        while (slots := cls._place(found, n)) is None:
+            n += n // 4 + 1
+        return cls(n, slots)
+
+    @staticmethod
+    def _place(found: list[int], n: int) -> list[int] | None:
+        """All of ``found`` in a table, or None if they push each other around for too long."""
+        held: list[int | None] = [None] * (2 * n + 1)
+        for h in found:
+            second, moves = False, 0
+            while h is not None:
+                at = n + h % (n + 1) if second else h % n
+                h, held[at] = held[at], h
+                second, moves = at < n, moves + 1
+                if moves > 500:
+                    return None
+        return [i + 1 - (n if i >= n else 0) if h is None else h for i, h in enumerate(held)]
+
+    def holds(self, h: Column) -> Column:
+        """Whether the lexicon has a term; its table becomes a literal of the plan."""
+        table = F.from_json(F.lit(json.dumps(self.slots)), "array<bigint>")
+        first, second = F.pmod(h, F.lit(self.n).cast("long")), F.pmod(h, F.lit(self.n + 1).cast("long")) + self.n
+        return (F.get(table, first.cast("int")) == h) | (F.get(table, second.cast("int")) == h)
+
+
+def lexicon(df: DataFrame, text: str = "text") -> Lexicon:
+    """The terms whose document frequency is in the band."""
     n = df.count()
     low = max(1.0, MIN_SHARE * n)
     high = max(MAX_SHARE * n, low + 1)
-    counts = df.select(F.explode(F.array_distinct(F.transform(terms(F.col(text)), _slot))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    band = counts.where(F.col("df").between(low, high))
-    # at most SLOTS / 7 rows of two small numbers, whatever the corpus
-    cells = band.groupBy((F.col("slot") / 7).cast("int").alias("cell")).agg(F.expr("bit_or(shiftleft(1, slot % 7))").alias("bits")).collect()
-    out = bytearray(SLOTS // 7 + 1)
-    for cell, bits in cells:
-        out[cell] = bits
-    return bytes(out)
-
-
-def _in(bitmap: bytes):
-    table = F.lit(bytearray(bitmap))
-
-    def test(h: Column) -> Column:
-        slot = _slot(h)
-        byte = F.ascii(F.substring(table, (slot / 7).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.getbit(byte, slot % 7) == 1
-
-    return test
+    counts = df.select(F.explode(terms(named(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # bounded by the mean number of a document's terms, see above
+    return Lexicon.of([r[0] for r in counts.where(F.col("df").between(low, high)).select("h").collect()])
 
 
 def _level(found: Column, level: int) -> Column:
@@ -79,7 +101,8 @@ def _code(h: Column) -> Column:
 
 
 def _digest(part: Column) -> Column:
-    return F.when(F.length(part) < 2, EMPTY).otherwise(F.lower(F.substring(F.lpad(F.hex(F.xxhash64(part)), 16, "0"), 1, 4)))
+    """16 bits of a subset's sorted terms: 0 without a term, else from 1 on."""
+    return F.when(F.length(part) < 2, 0).otherwise(F.greatest(F.lit(1), F.shiftrightunsigned(F.xxhash64(part), 48).cast("int")))
 
 
 def _digests(found: Column) -> Column:
@@ -95,99 +118,114 @@ def _digests(found: Column) -> Column:
 
 
 def fingerprint_of(found: Column) -> Column:
-    """The digests of all levels, as an array, of an array of distinct term hashes."""
+    """The digests of all levels, as an array of ints, of an array of distinct in-band term hashes."""
     return F.concat(*[_digests(_level(found, level)) for level in range(LEVELS)])
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The part (0 to 1) of subsets with equal digests, of those with a term, on the level that tells most.
+def text_of(digests: Column) -> Column:
+    """A fingerprint as text: four hex digits a digest."""
+    return F.lower(F.array_join(F.transform(digests, lambda d: F.lpad(F.hex(d), 4, "0")), ""))
 
-    Takes arrays of digests. Fingerprints without any term are alike only if both are.
+
+def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with how far two columns of digests agree, 0 to 1, for each name of ``pairs``; equal ones are 1.
+
+    A level's share is that of its subsets with equal digests among those with a term of either
+    text. Levels are averaged with the weight ``used * (SUBSETS + 1 - used)``: one whose subsets are
+    nearly all filled, or nearly all blank, tells little. A blank fingerprint is like a blank one only.
     """
+    # 0 unused, 1 different, 2 equal; compared once, then counted for each level
+    marked = {name: spare(df.columns, f"marks_{name}") for name in pairs}
+    out = df.select("*", *[F.zip_with(named(a), named(b), lambda x, y: F.when(x != y, 1).when(x == 0, 0).otherwise(2)).alias(marked[name]) for name, (a, b) in pairs.items()])
+    counted = {(name, level): spare(df.columns, f"level_{name}_{level}") for name in pairs for level in range(LEVELS)}
+
+    def count(marks: Column, level: int) -> Column:
+        of = F.slice(marks, level * SUBSETS + 1, SUBSETS)
+        blank = F.size(F.filter(of, lambda m: m == 0))
+        return F.struct((F.lit(SUBSETS) - blank).alias("used"), F.size(F.filter(of, lambda m: m == 2)).alias("equal"))
 
-    def unused(i: Column) -> Column:
-        return (F.get(a, i) == EMPTY) & (F.get(b, i) == EMPTY)
+    out = out.select("*", *[count(F.col(marked[name]), level).alias(c) for (name, level), c in counted.items()])
 
-    def same(i: Column) -> Column:
-        return (F.get(a, i) == F.get(b, i)) & (F.get(a, i) != EMPTY)
+    def average(name: str) -> Column:
+        of = [F.col(counted[name, level]) for level in range(LEVELS)]
+        shares = sum((x["equal"] * (SUBSETS + 1 - x["used"]) for x in of), F.lit(0))
+        weights = sum((x["used"] * (SUBSETS + 1 - x["used"]) for x in of), F.lit(0))
+        a, b = pairs[name]
+        return F.when(named(a) == named(b), 1.0).when(weights > 0, shares / weights).otherwise(0.0).cast("double")
 
-    out = None
-    for level in reversed(range(LEVELS)):
-        at = F.sequence(F.lit(level * SUBSETS), F.lit((level + 1) * SUBSETS - 1))
-        used, equal = SUBSETS - F.size(F.filter(at, unused)), F.size(F.filter(at, same))
-        here = F.when(used > 0, equal / used).otherwise(0.0)
-        out = here if out is None else F.when(used <= FULL_ENOUGH, here).otherwise(out)
-    return F.when(a == b, 1.0).otherwise(out).cast("double")
+    return out.select(*map(named, df.columns), *[average(name).alias(name) for name in pairs])
 
 
-def fingerprints(df: DataFrame, bitmap: bytes, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint (an array of digests) of ``text``; a null or blank text has the one without terms."""
-    cols = df.columns
-    found = df.select("*", terms(F.coalesce(F.col(text), F.lit(""))).alias("_all"))
-    found = found.select("*", F.filter("_all", _in(bitmap)).alias("_band"))
-    found = found.select(*[F.col(c) for c in cols], F.when(F.size("_band") < FEW, F.col("_all")).otherwise(F.col("_band")).alias("_t"))
-    return found.select(*[F.col(c) for c in cols], fingerprint_of(F.col("_t")).alias(out))
+def with_fingerprint(df: DataFrame, text: str, out: str, terms_of: Lexicon) -> DataFrame:
+    """``df`` with the fingerprint of ``text`` as ``out``; a null or blank text has the blank one."""
+    found = spare(df.columns, "found")
+    # a column of its own: the terms are found once, not once a level
+    held = df.select("*", F.filter(terms(F.coalesce(named(text), F.lit(""))), terms_of.holds).alias(found))
+    return held.select(*map(named, df.columns), fingerprint_of(F.col(found)).alias(out))
 
 
-def _range_of(key: Column, splits: list[int]) -> Column:
+def _ranked(key: Column, splits: list[int]) -> Column:
     """How many of the increasing ``splits`` are at most ``key``, by binary search; null: 0."""
     if not splits:
         return F.lit(0)
-    table = F.array(*[F.lit(s).cast("long") for s in splits])
-    out = F.lit(0)
-    step = 1 << (len(splits).bit_length() - 1)
-    steps = []
-    while step:
-        steps.append(step)
-        step >>= 1
-    out = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(splits)) & (F.get(table, at + s - 1) <= key), at + s).otherwise(at))
-    return F.coalesce(out, F.lit(0))
-
-
-def with_next(df: DataFrame, key: str, carry: list[str], ranges: int) -> tuple[DataFrame, Window]:
-    """``df`` dealt into ranges of ``key``, each with a copy of the row that follows it, and a window in descending order.
-
-    Rows with ``_ghost`` are the copies: the first row of the next range down, or of the top one
-    after the last. Nulls come last. So a lead over the window gives every real row its follower,
-    and rows are shuffled once.
+    table = F.from_json(F.lit(json.dumps(splits)), "array<bigint>")
+    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= len(splits)) & (F.get(table, at + s - 1) <= key), at + s).otherwise(at))
+    return F.coalesce(found, F.lit(0))
+
+
+def with_next(df: DataFrame, carry: list[str], ranges: int) -> tuple[DataFrame, Window]:
+    """(key, tie, ...) dealt into ranges, each with a copy of the row that follows it, and a window in descending key order.
+
+    Nulls come last, ties go by ``tie``. Rows with ``ghost`` are the copies: the first row of the
+    next range down, or of the top one after the last. So a lead over the window gives every real
+    row its follower, and rows are shuffled once. Ranges are cut at quantiles of the key; a key that
+    covers several of them is cut further by ``tie``.
     """
     probs = [i / ranges for i in range(1, ranges)]
-    splits = df.agg(F.percentile_approx(key, probs, max(10_000, 10 * ranges)).alias("p")).first()["p"] if probs else None
-    splits = sorted(set(splits or []))
-    ranged = df.select(key, *carry, _range_of(F.col(key), splits).alias("_range"))
+    points = df.agg(F.percentile_approx("key", probs, max(10_000, 10 * ranges)).alias("p")).first()["p"] if probs else None
+    splits = Counter(points or [])
+    hot = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(n).alias("n")) for k, n in splits.items() if n > 1]
+    parts = F.coalesce(F.get(F.transform(F.filter(F.array(*hot), lambda x: x["k"] == F.col("key")), lambda x: x["n"]), F.lit(0)), F.lit(1)) if hot else F.lit(1)
+    part = F.least((((F.col("tie") / F.lit(2.0**64)) + 0.5) * parts).cast("int"), parts - 1)
+    # ascending in the window's order
+    place = (F.lit(len(splits)) - _ranked(F.col("key"), sorted(splits))) * ranges + part
+    order = F.struct(F.col("key").isNull().alias("none"), F.bitwise_not("key").alias("down"), F.col("tie"))
+    ranged = df.select("*", place.cast("long").alias("range"))
     # one row for each range
-    tops = sorted(((r["_range"], r["top"]) for r in ranged.groupBy("_range").agg(F.max(key).alias("top")).collect()), reverse=True)
-    ghosts = [(tops[i][1], tops[i - 1][0]) for i in range(len(tops))]
-    table = df.sparkSession.createDataFrame(ghosts, "_top long, _to int")
-    both = ranged.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_top")), "left")
-    here = F.struct(F.col("_range").alias("r"), F.lit(False).alias("g"))
-    there = F.struct(F.col("_to").alias("r"), F.lit(True).alias("g"))
-    both = both.select(key, *carry, F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_x")).select(key, *carry, F.col("_x.r").alias("_range"), F.col("_x.g").alias("_ghost"))
-    return both, Window.partitionBy("_range").orderBy("_ghost", F.desc_nulls_last(key), "_tie")
+    firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.min(order).alias("first")).collect())
+    ghosts = [(here, *first, firsts[i - 1][0]) for i, (here, first) in enumerate(firsts)]
+    table = df.sparkSession.createDataFrame(ghosts, "f_range long, none boolean, down long, f_tie long, to long")
+    same = (F.col("range") == F.col("f_range")) & F.bitwise_not("key").eqNullSafe(F.col("down")) & (F.col("tie") == F.col("f_tie"))
+    both = ranged.join(F.broadcast(table), same, "left").select("key", "tie", *carry, "range", "to")
+    here = F.struct(F.col("range").alias("r"), F.lit(False).alias("g"))
+    there = F.struct(F.col("to").alias("r"), F.lit(True).alias("g"))
+    dealt = both.select("key", "tie", *carry, F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+    return dealt.select("key", "tie", *carry, F.col("x.r").alias("range"), F.col("x.g").alias("ghost")), Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("key"), "tie")
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited form, and likenesses (see the README for columns).
+    """The key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    The edited text has its last third replaced by the start of the next document's, in descending
-    key order, null keys last, ties by the text's hash; after the last comes the first. Null texts
-    are empty. Repeated rows stay. An empty table gives no rows.
+    The edited text has its last third (in code points, rounded down) replaced by the start of the
+    next document's, in descending key order, null keys last, ties by the text's hash; after the
+    last comes the first. Null texts are empty. Texts of any length are read whole. Repeated rows
+    stay, and follow each other. Other columns are not read, whatever their names. An empty table
+    gives no rows.
     """
-    docs = df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    bitmap = lexicon(docs)
-    dealt, order = with_next(docs, key, ["text", "_tie"], 4 * shuffle_partitions(df.sparkSession))
+    body = F.coalesce(named(text), F.lit(""))
+    docs = df.select(named(key).cast("long").alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
+    found = lexicon(docs)
+    dealt, order = with_next(with_fingerprint(docs, "text", "own", found), ["text", "own"], 16 * shuffle_partitions(df.sparkSession))
+    following = dealt.select("key", "ghost", "text", "own", F.lead(F.struct("text", "own")).over(order).alias("next")).where(~F.col("ghost"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    rows = dealt.select("*", F.lead("text").over(order).alias("_next")).select(
-        key, "_range", "_ghost", "_tie", "text", n.cast("long").alias("n_chars"),
-        F.when(~F.col("_ghost"), F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))).alias("_edited"),
-    )
-    rows = fingerprints(rows, bitmap, "text", "_own")
-    rows = fingerprints(rows, bitmap, "_edited", "_new")
-    rows = rows.select(key, "_range", "_ghost", "_tie", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_own", "_new")
-    rows = rows.withColumn("_after", F.lead("_own").over(order)).where(~F.col("_ghost"))
-    return rows.select(key, "n_chars", "edited_sha256", F.array_join("_own", "").alias("fingerprint"), F.array_join("_new", "").alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_after")).alias("near_next"))
+    edited = following.select("key", "own", F.col("next.own").alias("after"), n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third)).alias("edited"))
+    rows = with_fingerprint(edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "new", found)
+    rows = with_likeness(rows.select("key", "n_chars", "edited_sha256", "own", "after", "new"), {"near_edited": ("own", "new"), "near_next": ("own", "after")})
+    return rows.select(F.col("key").alias(key), "n_chars", "edited_sha256", text_of(F.col("own")).alias("fingerprint"), text_of(F.col("new")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of all ``documents``; see :func:`edited_fingerprints` for nulls, ties, repeats and the rest."""
     return edited_fingerprints(documents(spark, sf_dir))

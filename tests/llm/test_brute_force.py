@@ -25,32 +25,32 @@ def terms(text):
 
 
 def fingerprint(text, band):
-    every = terms(text)
-    kept = {h for h in every if h % imatch.SLOTS in band}
-    kept = every if len(kept) < imatch.FEW else kept
+    kept = terms(text) & band
     out = ""
     for level in range(imatch.LEVELS):
         for s in range(imatch.SUBSETS):
             own = sorted(s << imatch.CODE_BITS | h & (1 << imatch.CODE_BITS) - 1 for h in kept if h >> 50 & ((1 << imatch.LEVEL_BITS * level) - 1) == 0 and h >> 40 & imatch.SUBSETS - 1 == s)
             text = "".join(f",{x:X}" for x in own) + ("," if s < imatch.SUBSETS - 1 else "")
-            out += f"{xxhash.xxh64_intdigest(text.encode(), seed=42):016x}"[:4] if own else imatch.EMPTY
+            out += f"{max(1, xxhash.xxh64_intdigest(text.encode(), seed=42) >> 48):04x}" if own else "0000"
     return out
 
 
 def likeness(a, b):
     if a == b:
         return 1.0
+    shares, weights = 0.0, 0
     for level in range(imatch.LEVELS):
         at = range(level * imatch.SUBSETS * 4, (level + 1) * imatch.SUBSETS * 4, 4)
         pairs = [(a[i : i + 4], b[i : i + 4]) for i in at]
-        used = sum(x != imatch.EMPTY or y != imatch.EMPTY for x, y in pairs)
-        if used <= imatch.FULL_ENOUGH or level == imatch.LEVELS - 1:
-            return sum(x == y != imatch.EMPTY for x, y in pairs) / used if used else 0.0
-    return None
+        used = sum(x != "0000" or y != "0000" for x, y in pairs)
+        if used:
+            shares += used * (33 - used) * (sum(x == y != "0000" for x, y in pairs) / used)
+            weights += used * (33 - used)
+    return shares / weights if weights else 0.0
 
 
 def test_imatch(spark, docs):
-    df = Counter(s for r in docs.values() for s in {h % imatch.SLOTS for h in terms(r["text"])})
+    df = Counter(h for r in docs.values() for h in terms(r["text"]))
     low = max(1.0, imatch.MIN_SHARE * len(docs))
     high = max(imatch.MAX_SHARE * len(docs), low + 1)
     band = {s for s, n in df.items() if low <= n <= high}

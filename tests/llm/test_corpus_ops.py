@@ -197,28 +197,51 @@ def test_mixing_of_odd_tables(spark):
 
 
 def likeness(spark, a, b):
-    cut = lambda x: [x[i : i + 4] for i in range(0, len(x), 4)]
-    df = spark.createDataFrame([(cut(a), cut(b))], "a array<string>, b array<string>")
-    return df.select(imatch.likeness(F.col("a"), F.col("b"))).first()[0]
+    df = spark.createDataFrame([(a, b, 1, 2)], "a array<int>, b array<int>, marks_near int, level_near_0 int")
+    got = imatch.with_likeness(df, {"near": ("a", "b")})
+    assert got.columns == [*df.columns, "near"]
+    return got.first()["near"]
 
 
 def test_likeness(spark):
-    blank = imatch.EMPTY * imatch.SUBSETS * imatch.LEVELS
-    some = "00ab" * 4 + blank[16:]
+    rest = [0] * imatch.SUBSETS
+    blank = rest * imatch.LEVELS
+    some = [7] * 4 + blank[4:]
     assert likeness(spark, some, some) == 1 and likeness(spark, blank, blank) == 1 and likeness(spark, some, blank) == 0
-    assert likeness(spark, some, "00ab" * 2 + "00cd" * 2 + blank[16:]) == 0.5
-    full = "1111" * imatch.SUBSETS
-    rest = blank[: 4 * imatch.SUBSETS]
-    assert likeness(spark, full + "aaaa" * 16 + rest[:64] + rest, full + "aaaa" * 8 + "bbbb" * 8 + rest[:64] + rest) == 0.5
+    assert likeness(spark, some, [7] * 2 + [8] * 2 + blank[4:]) == 0.5
+    # a full level counts for little beside a half-filled one
+    got = likeness(spark, [2] * 32 + [5] * 16 + [0] * 16 + rest, [1] * 32 + [5] * 8 + [6] * 8 + [0] * 16 + rest)
+    assert abs(got - 0.5 * 16 * 17 / (16 * 17 + 32)) < 1e-12
+
+
+def test_lexicon_holds_what_it_was_given(spark):
+    rng = random.Random(3)
+    data = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)] + [0, -1, 1, 2, 3]
+    for given in (data[:1500] + data[-5:-2], data[:1], [], [0]):
+        lex = imatch.Lexicon.of(given)
+        assert set(given) <= set(lex.slots)
+        got = spark.createDataFrame([(data,)], "h array<long>").select(F.filter("h", lex.holds)).first()[0]
+        assert got == [h for h in data if h in set(given)]
+
+
+def test_next_rows_of_a_hot_key(spark):
+    # one key holds a third of the rows; it is cut into several ranges, and order still goes by the text's hash
+    data = [(i if i % 3 else 7, f"text number {i}") for i in range(600)]
+    df = spark.createDataFrame(data, "key long, text string").withColumn("tie", F.xxhash64("text"))
+    dealt, order = imatch.with_next(df, ["text"], 30)
+    got = dealt.select("*", F.lead("text").over(order).alias("next")).where("not ghost").collect()
+    rows = sorted(got, key=lambda r: (-r["key"], r["tie"]))
+    assert len(rows) == 600 and [r["next"] for r in rows] == [r["text"] for r in rows[1:] + rows[:1]]
+    assert len({r["range"] for r in got if r["key"] == 7}) > 5
 
 
 def test_imatch_edits_in_key_order(spark):
     rng = random.Random(9)
-    vocab = [f"term{i}" for i in range(400)]
+    vocab = [f"term{i}" for i in range(5000)]
     texts = {i: " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 60, 300]))) + " é🙂" for i in rng.sample(range(-500, 500), 120)}
     texts[501] = texts[max(texts)]
-    data = [(k, v, "x") for k, v in texts.items()] + [(None, None, None)]
-    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(spark.createDataFrame(data, "doc_id long, text string, fingerprint string").repartition(5)).collect()}
+    data = [(k, v, "x", 1, 2) for k, v in texts.items()] + [(None, None, None, None, None)]
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(spark.createDataFrame(data, "doc_id long, text string, fingerprint string, key int, tie int").repartition(5)).collect()}
     order = sorted(texts, reverse=True) + [None]
     texts[None] = ""
     assert len(got) == len(order)
