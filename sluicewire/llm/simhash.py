@@ -4,9 +4,14 @@ Fingerprints within three bits of each other agree on at least two of five block
 each goes to the bucket of its bits in every pair of blocks. Inside a bucket fingerprints are
 stored vertically: word ``w`` of plane ``p`` holds bit ``p`` of 64 members. A query's bits flip the
 planes into difference planes, carry-save counters add these for 64 members at a time, and words
-whose members have all passed the radius are abandoned. A bucket of any size is whole: a large one
-is cut into chunks and every pair of chunks is compared, each in its own task. A bucket gives a
-spanning forest of its links, never all pairs.
+whose members have all passed the radius are abandoned. A bucket gives a spanning forest of its
+links, never all pairs.
+
+A bucket of more than ``LARGE`` members isn't compared but dealt again: the same holds for any other
+cut of the 64 bits into five blocks, so its members go to the buckets of two more blocks, of another
+cut. Each time two fifths of the bits that were still open are fixed, so after six times a bucket has
+at most 2^9 distinct fingerprints, and its members are copied ten times each time, not once for
+every part of the bucket.
 """
 
 from __future__ import annotations
@@ -21,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import documents, durable, named
 from .graph import stars
 
 BITS, RADIUS, WORDS = 64, 3, 3
 #: Blocks of bits; two must agree, which gives C(5, 2) tables with keys of 25 bits or more.
 BLOCKS = 5
-#: Members of a bucket that one task compares at most, twice: a chunk against another.
-CHUNK = 2048
+#: Members of a bucket that are compared with each other; those of a larger one are dealt again.
+LARGE = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -62,11 +67,18 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
-    """One mask for each choice of ``blocks - radius`` blocks, as signed longs."""
-    edge = [BITS * i // blocks for i in range(blocks + 1)]
-    block = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(blocks)]
-    masks = [sum(x) for x in itertools.combinations(block, blocks - radius)]
+#: How the bits are cut into blocks, time after time: bit ``b`` counts as the ``b * m % 64``-th of them.
+CUTS = (1, 51, 15, 37, 61, 57)
+
+
+def block(cut: int, bit: int) -> int:
+    return bit * CUTS[cut] % BITS * BLOCKS // BITS
+
+
+def block_masks(cut: int = 0) -> list[int]:
+    """One mask for each two blocks of a cut, as signed longs."""
+    blocks = [sum(1 << b for b in range(BITS) if block(cut, b) == i) for i in range(BLOCKS)]
+    masks = [sum(x) for x in itertools.combinations(blocks, BLOCKS - RADIUS)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -190,15 +202,30 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=_EDGES)
 
 
+def _dealt(rows: DataFrame, cut: int) -> DataFrame:
+    """(mask, k, fp): the buckets of ``rows`` (mask, fp), whose bits of ``mask`` agree, by two more blocks."""
+    masks = F.explode(F.array(*[F.col("mask").bitwiseOR(F.lit(m).cast("long")) for m in block_masks(cut)]))
+    return rows.select(masks.alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the distinct longs ``fp`` of ``fps`` as links within RADIUS bits do."""
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(block_masks())])).alias("x")).select("fp", "x.*")
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / CHUNK))
-    own = F.pmod(F.xxhash64("fp", "t"), F.col("g"))
-    pairs = F.when(F.col("g") == 1, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi"))))
-    members = keyed.join(sizes, ["t", "k"]).select("t", "k", "fp", F.explode(pairs).alias("c")).select("t", "k", "fp", "c.*")
-    buckets = members.groupBy("t", "k", "lo", "hi").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return buckets.mapInArrow(bucket_links, "a long, b long")
+    rows, out = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), None
+    for cut in range(len(CUTS)):
+        keyed = _dealt(rows, cut)
+        # written first, so that the joins below are between plain exchanges, whose hot partitions Spark splits
+        sizes = durable(keyed.groupBy("mask", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        last = cut == len(CUTS) - 1
+        few = sizes if last else sizes.where(F.col("n") <= LARGE)
+        buckets = keyed.join(few.select("mask", "k"), ["mask", "k"]).groupBy("mask", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
+        found = buckets.mapInArrow(bucket_links, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        many = sizes.where(F.col("n") > LARGE).select("mask", "k")
+        if last or many.isEmpty():
+            return out
+        # a member may come from several buckets of the same bits
+        rows = durable(keyed.join(many, ["mask", "k"]).select("mask", "fp"))
+    return out
 
 
 def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,23 +235,23 @@ def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     reps = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("rep")))
     tree = stars(links(reps.select("fp")))
-    member = tree.unionByName(tree.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fp")
-    linked = reps.join(member, "fp")
-    first = linked.groupBy("b").agg(F.min("rep").alias("first"))
+    member = durable(tree.unionByName(tree.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fp"))
+    first = durable(reps.join(member, "fp").groupBy("b").agg(F.min("rep").alias("first")))
     of = durable(reps.join(member.join(first, "b").select("fp", "first"), "fp", "left").select("fp", F.coalesce("first", "rep").alias("first")))
     return of, of.select("first").distinct()
 
 
 def fingerprint_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return durable(df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), fingerprints(F.col(text)).alias("fp")))
+    return durable(df.select(named(key).cast("long").alias("doc_id"), F.xxhash64(named(text)).alias("tx"), fingerprints(named(text)).alias("fp")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of every row.
 
     A null text and a text without words have fingerprint zero and are linked like others. A
-    component's id is its smallest key (null only if it has no other). Repeated rows stay. An
-    empty table gives no rows.
+    component's id is its smallest key (null only if it has no other). Texts of any length are read
+    whole. Rows that tie (equal texts or fingerprints) are one component, and repeated rows stay.
+    Other columns are not read, whatever their names. An empty table gives no rows.
     """
     rows = fingerprint_rows(df, key, text)
     of, _ = components(rows)
@@ -234,15 +261,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one of each component, that with the least (key, hash of the text).
 
-    Null keys come last; of rows equal in both, one stays.
+    Null keys come last; of rows equal in both, one stays. All columns of ``df`` stay as they are,
+    whatever their names. Null, empty and very long texts are as in :func:`near_duplicates`. An empty
+    table gives no rows.
     """
     _, first = components(fingerprint_rows(df, key, text))
-    keep = first.select(F.col("first.doc_id").alias("_id"), F.col("first.tx").alias("_tx"))
-    own = df.withColumn("_own", F.xxhash64(text))
-    kept = own.join(keep, own[key].cast("long").eqNullSafe(keep["_id"]) & (own["_own"] == keep["_tx"]), "left_semi")
-    once = Window.partitionBy(key, "_own").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*df.columns)
+    id0 = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias("id0")
+    keep = durable(first.select("first.none", id0(F.col("first.doc_id")), "first.tx"))
+    rows = df.select(F.struct(*map(named, df.columns)).alias("row"), named(key).cast("long").alias("id"), F.xxhash64(named(text)).alias("tx"))
+    rows = rows.select("row", F.col("id").isNull().alias("none"), id0(F.col("id")), "tx")
+    # one exchange of the texts serves both steps
+    once = Window.partitionBy("none", "id0", "tx").orderBy(F.lit(1))
+    single = rows.withColumn("n", F.row_number().over(once)).where("n = 1")
+    return single.join(keep, ["none", "id0", "tx"], "left_semi").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents``; see :func:`near_duplicates` for nulls, ties, repeats and the rest."""
     return near_duplicates(documents(spark, sf_dir))

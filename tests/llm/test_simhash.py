@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sluicewire.llm import simhash as s
 
@@ -58,8 +60,24 @@ def test_buckets_of_all_sizes():
         assert {i: r for i, r in forest.items() if i != r} == want
 
 
-def test_links_find_every_component_also_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(s, "CHUNK", 16)
+def test_any_cut_leaves_two_blocks_of_a_link_alone():
+    rng = random.Random(3)
+    for cut in range(len(s.CUTS)):
+        masks = [m % (1 << 64) for m in s.block_masks(cut)]
+        assert len(masks) == 10 and all(sum(s.block(cut, b) == i for b in range(64)) >= 12 for i in range(5))
+        for _ in range(300):
+            d = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not d & m for m in masks)
+    # dealt again and again, a bucket has few open bits
+    fixed = [0]
+    for cut in range(len(s.CUTS)):
+        fixed = sorted({f | m % (1 << 64) for f in fixed for m in s.block_masks(cut)}, key=int.bit_count)[:3000]
+    assert 1 << 64 - fixed[0].bit_count() <= s.LARGE
+
+
+@pytest.mark.parametrize("large", [16, 4])
+def test_links_find_every_component_also_of_buckets_dealt_again(spark, monkeypatch, large):
+    monkeypatch.setattr(s, "LARGE", large)
     rng = np.random.default_rng(6)
     fps = sorted({x for n in (1, 1, 2, 5, 120) for _ in range(4) for x in cluster(rng, n, 4)})
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
@@ -69,6 +87,24 @@ def test_links_find_every_component_also_over_chunks(spark, monkeypatch):
     assert [got[x] for x in signed] == brute(np.array(fps, dtype=np.uint64))
 
 
+def test_joins_of_hot_keys_are_between_plain_exchanges(spark):
+    """Spark splits a hot partition of a join only where both sides are plain exchanges (and a sort)."""
+    rows = spark.range(3000).select(F.col("id").alias("fp"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = s.links(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin" in x]
+    assert joins
+    for i in joins:
+        depth = lines[i].index("SortMergeJoin")
+        below = [x for x in lines[i + 1 :] if "Sort [" in x or "Exchange" in x]
+        assert "Sort [" in below[0] and "Exchange hashpartitioning" in below[1], plan
+        assert depth > 0
+
+
 def test_nulls_ties_repeats_clashing_columns(spark):
     long = " ".join(f"w{i % 97}" for i in range(4000))
     data = [(5, long, "x", "y"), (3, long, None, None), (3, long, None, None), (None, None, None, None), (7, "", None, None), (None, " ", None, None), (9, "other words here", None, None)]
@@ -79,6 +115,8 @@ def test_nulls_ties_repeats_clashing_columns(spark):
     assert {r["component_id"] for r in df if r["doc_id"] in (3, 5)} == {3}
     kept = s.keep_one(spark.createDataFrame(data, DDL))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"] and sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 9]
+    clash = spark.createDataFrame([(1, "one text", "a", 5, "b", 6), (2, "one text", "c", 7, "d", 8)], "doc_id long, text string, tx string, n int, row string, `x.y` int")
+    assert [tuple(r) for r in s.keep_one(clash).collect()] == [(1, "one text", "a", 5, "b", 6)]
     assert s.near_duplicates(spark.createDataFrame([], DDL)).count() == 0 and s.keep_one(spark.createDataFrame([], DDL)).count() == 0
 
 
