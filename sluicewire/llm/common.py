@@ -56,6 +56,12 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, wherever Spark's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut from its lineage, in the folder that all executors share."""
     shared_folder(df.sparkSession)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import beside, documents, durable, named
 
 #: Lengths of the n-grams, and the least share of a language's n-grams of a length.
 SIZES = (3, 4)
@@ -156,7 +156,7 @@ class Filters:
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the rows of ``df`` with a text and a language; all such rows are counted."""
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = df.where(named(text).isNotNull() & named(lang).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
     names = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts = rows.mapInArrow(_count, "lang string, size long, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
@@ -176,7 +176,10 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1: the best language's part of all corrected shares).
 
     A null text, one without a letter, and every text if nothing was learned, give ``und`` with score
-    0. Letters of no learned language give the first language with score 0. Ties go to the first.
+    0. Letters of no learned language give the first language with score 0. Ties go to the first, in
+    the order of names. Texts of any length are read whole, in parts; repeated rows stay and get the same. A
+    column of ``df`` named like one of the two gives way to it; all others keep name and values. An
+    empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
@@ -193,11 +196,14 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                     score[at] = share.max(axis=1) / np.maximum(share.sum(axis=1), 1e-12)
         return pd.DataFrame({"lang_pred": pred, "score": np.clip(score, 0, 1)})
 
-    return df.select("*", F.pandas_udf(run, "lang_pred string, score double")(text).alias("_l")).select(*[F.col(c) for c in df.columns], "_l.lang_pred", "_l.score")
+    return beside(df, F.pandas_udf(run, "lang_pred string, score double")(named(text)), ["lang_pred", "score"])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from documents whose crc32(doc_id as text) mod 4 is not 2; predicts all."""
+    """Learns from documents whose crc32(doc_id as text) mod 4 is not 2; predicts all.
+
+    A null doc_id is not held out. See :func:`predict` for null texts, ties, repeats and the rest.
+    """
     docs = documents(spark, sf_dir)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     rows = docs.select("doc_id", "text", "lang", held.alias("held_out"))

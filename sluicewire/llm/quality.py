@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import beside, documents, named
 
 DIMENSIONS = 1 << 18
 #: The fit uses at most so many labelled rows, those of least hash of their id.
@@ -33,30 +34,28 @@ L2, STEPS, RATE = 1e-4, 250, 0.08
 KEEP_GRADE, KEEP_PROBABILITY = 2, 0.6
 REMEMBERED = 200_000
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—"
-_tokens: dict[str, tuple[int, str]] = {}
+_tokens: dict[str, tuple[int, int]] = {}
 
 
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) & (DIMENSIONS - 1)
 
 
+def _sign(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+
+
 def _shape(token: str) -> str:
-    """Runs of one kind of character as one sign: A upper, a other letters, 9 digits, else itself; the first 8 signs."""
-    out = ""
-    for c in token:
-        s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if out[-1:] != s:
-            out += s
-            if len(out) == 8:
-                break
-    return out
-
-
-def _token(token: str) -> tuple[int, str]:
+    """Runs of one kind of character as one sign each: A upper, a other letters, 9 digits, else the character."""
+    return "".join(s for s, _ in groupby(map(_sign, token)))
+
+
+def _token(token: str) -> tuple[int, int]:
+    """The slots of a token's word (-1: it has none) and of its shape."""
     got = _tokens.get(token)
     if got is None:
         word = token.strip(_STRIP).lower()
-        got = (_slot("w:" + word) if word else -1, _shape(token))
+        got = (_slot("w:" + word) if word else -1, _slot("s:" + _shape(token)))
         if len(_tokens) < REMEMBERED:
             _tokens[token] = got
     return got
@@ -70,7 +69,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     known = [_token(t) for t in tokens]
     n, value = len(tokens), {w: 1.0 for w, _ in known if w >= 0}
     for shape, k in Counter(s for _, s in known).items():
-        value[_slot("s:" + shape)] = 4 * (k / n) ** 0.5
+        value[shape] = 4 * (k / n) ** 0.5
     value[_slot("repeats")] = 4 * (sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / n) ** 0.5
     value[_slot(f"distinct:{10 * len(set(tokens)) // n}")] = 1.0
     return np.fromiter(value, np.int64, len(value)), np.fromiter(value.values(), np.float64, len(value))
@@ -145,16 +144,23 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [features(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32())), batch.column(1)], names=["at", "value", "grade"])
+        got = [features(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32())), batch.column(3)], names=["h", "t", "at", "value", "grade"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rows of ``labels`` (doc_id, quality, toxic) with a text in ``docs``."""
+    """A model from at most ``sample`` rows of ``labels`` (doc_id, quality, toxic) with a text in ``docs``.
+
+    Rows without an id or a grade are left out; null texts count as empty. If ids repeat, of the joined
+    rows those of least (hash of the id, hash of the text, grade) are taken, so the bound holds. Without any, the
+    model rejects nothing.
+    """
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).cast("int").alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    # at most `sample` rows of two numbers
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("text", "grade").mapInArrow(_feature_rows, "at array<int>, value array<float>, grade int").toArrow()
+    # at most `sample` rows of two numbers; ids may repeat in either table, so the bound is set once more
+    mine = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+    found = mine.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text", "grade").select("h", "t", "text", "grade").mapInArrow(_feature_rows, "h long, t long, at array<int>, value array<float>, grade int")
+    rows = found.orderBy("h", "t", "grade").limit(sample).select("at", "value", "grade").toArrow()
     grades = rows.column("grade").to_numpy().astype(np.int64)
     return fit_rows([(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(rows.column("at"), rows.column("value"), strict=True)], grades, KEEP_GRADE)
 
@@ -162,20 +168,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``expected_grade`` and ``tail_probability`` (of at least KEEP_GRADE).
 
-    A null or blank text has no features: the thresholds alone decide. Rows and other columns stay.
+    A null or blank text has no features: the thresholds alone decide. Every row is scored by its
+    whole text, of any length; equal texts score the same, and repeated rows stay. A column of ``df`` named
+    like one of the two gives way to it; all others keep name and values. An empty table gives no
+    rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        tails = shared.value.tails(texts)
-        return pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, KEEP_GRADE - 1]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            tails = shared.value.tails(texts)
+            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, KEEP_GRADE - 1]})
+        # the worker lives on in later stages, which start with nothing remembered
+        _tokens.clear()
 
-    return df.select("*", F.pandas_udf(run, "expected_grade double, tail_probability double")(text).alias("_q")).select(*[F.col(c) for c in df.columns], "_q.expected_grade", "_q.tail_probability")
+    return beside(df, F.pandas_udf(run, "expected_grade double, tail_probability double")(named(text)), ["expected_grade", "tail_probability"])
 
 
 def keep_good(df: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``df`` that the model doesn't reject."""
-    return score(df.select(F.struct(*df.columns).alias("_row"), "text"), model).where(F.col("tail_probability") >= KEEP_PROBABILITY).select("_row.*")
+    """The rows of ``df`` that the model doesn't reject, with all their columns, whatever these are called."""
+    return score(df.select(F.struct(*map(named, df.columns)).alias("row"), "text"), model).where(F.col("tail_probability") >= KEEP_PROBABILITY).select("row.*")
 
 
 def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +195,7 @@ def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all ``documents``, learned from ``labels``; see :func:`score` for nulls, repeats and the rest."""
     docs = documents(spark, sf_dir)
     model = fit(docs, labels_table(spark, sf_dir))
     return score(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP_PROBABILITY).alias("keep"))

@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import documents, durable, named
 
-#: Sub-buckets of a shard for numbering its rows; fixes the size of the broadcast offsets.
-SLOT_BUCKETS = 2048
+#: Bits of a row's bucket inside its shard, for numbering the shard's rows, and the fewest that are used.
+BUCKET_BITS, LEAST_BITS = 20, 8
+#: Offsets of at most so many buckets (a few MB) are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -82,36 +84,42 @@ def shard_table(df: DataFrame, tree: Node, key: str = "doc_id", text: str = "tex
 
     The law is ``key``: the key's string form and the tree decide, so equal keys (null keys too,
     which count as the empty string) share a shard whatever their texts. A null text has size 1
-    and the checksum of no bytes. Repeated rows keep one slot each. Slots are gapless per shard,
-    in the order of a hash bucket and then the key; numbering needs only per-bucket counts, never
-    a shard in one task. Other columns of ``df`` are ignored. An empty table gives no rows.
+    and the checksum of no bytes; a text of any length is measured whole. Repeated rows keep one slot
+    each. Slots are gapless per shard, in the order of a hash bucket and then the key; numbering needs
+    only per-bucket counts, never a shard in one task: a shard has about as many buckets as the square
+    root of the number of rows. Rows that tie in all of key, checksum and size are alike, so their
+    slots may be swapped. Other columns of ``df`` are not read, whatever their names. An empty table
+    gives no rows.
     """
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    body = F.coalesce(F.col(text), F.lit(""))
+    k = F.coalesce(named(key).cast("string"), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     rows = durable(
-        df.select(F.col(key), F.octet_length(body).cast("long").alias("size0"), F.crc32(body.cast("binary")).alias("text_crc32"), F.col(text).isNull().alias("none"), k.alias("_k"))
-        .select(
-            F.col(key),
-            (F.when(F.col("none"), F.lit(0)).otherwise(F.col("size0")) + 1).cast("long").alias("size"),
-            "text_crc32",
-            F.lit("key").alias("law"),
-            assign(F.col("_k"), tree).cast("int").alias("shard"),
-            assign(F.col("_k"), grow(tree)).cast("int").alias("grown_shard"),
+        df.select(named(key).alias("key"), F.octet_length(body).cast("long").alias("bytes"), F.crc32(body.cast("binary")).alias("crc"), k.alias("k")).select(
+            "key",
+            (F.col("bytes") + 1).alias("size"),
+            F.col("crc").alias("text_crc32"),
+            assign(F.col("k"), tree).cast("int").alias("shard"),
+            assign(F.col("k"), grow(tree)).cast("int").alias("grown_shard"),
             # the checksum spreads a key that many different rows share
-            F.pmod(F.xxhash64(F.col("_k"), F.col("text_crc32"), F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"),
+            F.shiftrightunsigned(F.xxhash64("k", "crc", F.lit("slot")), 64 - BUCKET_BITS).cast("int").alias("bits"),
         )
     )
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most shards x SLOT_BUCKETS rows of three numbers
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    here = Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32", "size")
+    bits = min(BUCKET_BITS, max(LEAST_BITS, rows.count().bit_length() // 2))
+    rows = rows.withColumn("bucket", F.shiftright("bits", BUCKET_BITS - bits)).drop("bits")
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most shards x 2 ** bits rows of three numbers
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if len(grow(tree).leaves()) << bits <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    here = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size")
     return (
-        rows.withColumn("_at", F.row_number().over(here) - 1)
-        .join(F.broadcast(offsets), ["shard", "_bucket"])
-        .select(key, "size", "text_crc32", "law", "shard", (F.col("_at") + F.col("_before")).cast("long").alias("slot"), "grown_shard")
+        rows.withColumn("at", F.row_number().over(here) - 1)
+        .join(offsets, ["shard", "bucket"])
+        .select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), "grown_shard")
     )
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in eight equal shards; see :func:`shard_table` for nulls, ties, repeats and the rest."""
     return shard_table(documents(spark, sf_dir), uniform_tree(8))

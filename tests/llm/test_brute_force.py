@@ -67,12 +67,25 @@ def test_imatch(spark, docs):
 
 def test_mixing(spark, docs):
     base = spark.read.parquet(f"{DIR}/documents.parquet")
-    rows = base.select("doc_id", *mixing._keyed(base, "doc_id", "text", "source")).select("*", F.xxhash64("_s", "_block", F.lit(mixing.SEED + 2)).alias("o")).collect()
+    rows = base.select("doc_id", *mixing._keyed(base, "doc_id", "text", "source")).withColumn("_block", mixing.block_of(mixing.LEAST_BITS)).select("*", F.xxhash64("_s", "_block", F.lit(mixing.SEED + 2)).alias("o")).collect()
     assert all(r["_tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r["doc_id"]]["text"])) for r in rows)
     total = Counter()
     for r in rows:
         total[r["_s"]] += r["_tokens"]
-    a = max(0.0, 1 - math.log(mixing.MAX_REPEATS) / math.log(max(total.values()) / min(total.values())))
+
+    def weights(a):
+        z = sum(t**a for t in total.values())
+        return {s: t**a / z for s, t in total.items()}
+
+    def repeats(a):
+        passes = [w / total[s] for s, w in weights(a).items()]
+        return max(passes) / min(passes)
+
+    a = mixing.fit_exponent(spark.createDataFrame(list(total.items()), "_s string, tokens long"), mixing.Target())
+    # the limit is met, and no flatter mixture would meet it
+    assert abs(repeats(a) - mixing.MAX_REPEATS) < 1e-9 and repeats(a - 1e-6) > mixing.MAX_REPEATS
+    rounded = {("=" + r["source"] if r["source"] is not None else ""): r["weight"] for r in registry.QUERIES["op8_mixing"](spark, DIR).select("source", "weight").distinct().collect()}
+    assert rounded == {s: round(w, 9) for s, w in weights(a).items()}
     want = Counter()
     for s, t in total.items():
         epochs = (t / max(total.values())) ** (a - 1)

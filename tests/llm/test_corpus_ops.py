@@ -121,7 +121,41 @@ def test_more_languages_than_a_mask_has_bits(spark):
 
 def test_shapes_of_long_tokens():
     assert quality._shape("x" * 100 + "7" * 5000 + "=") == "a9="
-    assert quality._shape("Ab1-" * 100) == "Aa9-Aa9-" and quality._shape("") == ""
+    assert quality._shape("Ab1-" * 100) == "Aa9-" * 100 and quality._shape("") == ""
+
+
+def test_scores_beside_clashing_columns(spark):
+    model = quality.Model(np.zeros(quality.DIMENSIONS), np.array([-1.0, 0.0]))
+    ddl = "doc_id long, text string, expected_grade string, _result int, row int, `x.y` int"
+    df = spark.createDataFrame([(1, "a", "old", 5, 6, 7), (None, None, None, None, None, None), (1, "a", "old", 5, 6, 7)], ddl)
+    got = quality.score(df, model)
+    assert got.columns == ["doc_id", "text", "_result", "row", "x.y", "expected_grade", "tail_probability"]
+    assert [(r["_result"], r["row"], r["x.y"], r["tail_probability"]) for r in got.where("doc_id = 1").collect()] == [(5, 6, 7, 0.5)] * 2
+    assert quality.score(df.where("false"), model).count() == 0
+    good = quality.keep_good(df, quality.Model(np.zeros(quality.DIMENSIONS), np.array([-50.0, -50.0])))
+    assert good.columns == df.columns and sorted(map(str, good.collect())) == sorted(map(str, df.collect()))
+
+
+def test_sample_bound_holds_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 3, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    taken = []
+    real = quality.fit_rows
+    quality.fit_rows = lambda rows, grades, top: taken.append(len(rows)) or real(rows, grades, top)
+    try:
+        quality.fit(docs, labels, sample=40)
+    finally:
+        quality.fit_rows = real
+    assert taken == [40]
+
+
+def test_languages_beside_clashing_columns(spark):
+    ddl = "doc_id long, text string, lang string, lang_pred string, SCORE int, _result int, `x.y` int"
+    df = spark.createDataFrame([(1, "alpha beta", "aa", "old", 5, 6, 7), (1, "alpha beta", "aa", "old", 5, 6, 7), (2, None, None, None, None, None, None)], ddl)
+    got = langid.predict(df, langid.learn(df))
+    assert got.columns == ["doc_id", "text", "lang", "_result", "x.y", "lang_pred", "score"]
+    assert sorted((r["doc_id"], r["lang_pred"], r["_result"], r["x.y"]) for r in got.where("doc_id = 1").collect()) == [(1, "aa", 6, 7)] * 2
+    assert got.where("doc_id = 2").first()["lang_pred"] == "und"
 
 
 def test_ordinal_regression(spark):
@@ -174,19 +208,52 @@ def test_mixing_meets_its_weights(spark):
 
 
 def test_exponent(spark):
-    totals = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 1000)], "_s string, tokens long")
+    sizes = [8000.0, 1000, 1000]
+    totals = spark.createDataFrame([(str(i), int(t)) for i, t in enumerate(sizes)], "_s string, tokens long")
 
     def entropy(a):
-        w = np.array([8000.0, 1000, 1000]) ** a
+        w = np.array(sizes) ** a
         w /= w.sum()
         return float(-(w * np.log(w)).sum() / np.log(3))
 
-    a = mixing.fit_exponent(totals, mixing.Target(entropy=0.9, max_repeats=1e9))
-    assert abs(entropy(a) - 0.9) < 1e-4
-    b = mixing.fit_exponent(totals, mixing.Target(entropy=1.0, max_repeats=2.0))
-    assert abs(8 ** (1 - b) - 2) < 1e-9
-    assert mixing.fit_exponent(totals, mixing.Target(entropy=0.1, max_repeats=4.0)) > 0.999
-    assert mixing.fit_exponent(totals.where("_s = 'a'"), mixing.Target()) == 1.0
+    fit = lambda **target: mixing.fit_exponent(totals, mixing.Target(**target))
+    a = fit(entropy=0.9, max_repeats=1e9)
+    assert abs(entropy(a) - 0.9) < 1e-8
+    # the flatter of the two targets can't be had: the repetition limit wins
+    b = fit(entropy=1.0, max_repeats=2.0)
+    assert abs(8 ** (1 - b) - 2) < 1e-9 and fit(max_repeats=2.0) == b
+    assert fit(entropy=0.1, max_repeats=4.0) > 0.999 and fit(max_repeats=100) == 0.0 and fit(max_repeats=1) > 1 - 1e-9
+    assert mixing.fit_exponent(totals.where("_s = '0'"), mixing.Target()) == 1.0
+    assert mixing.fit_exponent(totals.where("_s > '0'"), mixing.Target(entropy=0.5)) == 1.0
+
+
+def test_bisection_asks_for_several_halvings_at_once():
+    asked = []
+
+    def below(at):
+        asked.append(len(at))
+        return [x < 0.3 for x in at]
+
+    for at_once in (1, 4):
+        asked.clear()
+        assert abs(mixing.bisect(0.0, 1.0, below, 40, at_once) - 0.3) < 1e-11
+        assert asked == [2**at_once - 1] * (40 // at_once)
+
+
+def test_mixing_of_clashing_columns(spark):
+    ddl = DOCS + ", mix_pass string, MIX_RANK int, rank int, weight double, _row int, _s string, `a.b` int"
+    df = spark.createDataFrame([(i, "w x", "l", "s", 0, "old", 7, i, 0.5, 3, "t", 4) for i in range(9)], ddl)
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "rank", "weight", "_row", "_s", "a.b", *mixing.MIXED]
+    assert sorted((r["doc_id"], r["rank"], r["weight"], r["_row"], r["_s"], r["a.b"], r["mix_pass"]) for r in got.collect()) == [(i, i, 0.5, 3, "t", 4, 1) for i in range(9)]
+
+
+def test_more_rows_make_more_blocks(spark):
+    df = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    _, bits = mixing.plan(df.limit(300), mixing.Target())
+    decided, more = mixing.plan(df.withColumn("source", F.when(F.col("doc_id") < 60_000, "s").otherwise("t")), mixing.Target())
+    assert (bits, more) == (mixing.LEAST_BITS, 8) and decided.count() <= 512
+    assert min(mixing.BLOCK_BITS, (10**9).bit_length() // 2) == 15
 
 
 def test_mixing_of_odd_tables(spark):
