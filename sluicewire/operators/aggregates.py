@@ -2,7 +2,7 @@
 
 Missing and non-numeric values of a measured field count as 0.0. The percentile is the value at
 index ``min(floor(p / 100 * n), n - 1)`` of the sorted values. In batch it comes from counts of
-distinct values, which a large input has cut into ranges, so no group is gathered in a task; on
+distinct values, cut into ranges, so no group is gathered in a task; on
 streams it sorts the group's values.
 """
 
@@ -19,9 +19,6 @@ from ..lang import ast
 from .predicates import keep
 from .windows import bounds, windowed
 
-_HIDDEN = "_rows"
-
-
 def _metric(f: ast.Func, resolve: Resolver, streaming: bool) -> Column:
     if f.name == "count":
         return F.count(F.lit(1))
@@ -37,10 +34,10 @@ def _metric(f: ast.Func, resolve: Resolver, streaming: bool) -> Column:
     return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[f.name](x)
 
 
-#: Ranges of values into which a group of a large input is cut to find its percentiles.
+#: Ranges of values into which a group is cut to find its percentiles.
 RANGES = 1024
-#: Inputs of at most so many bytes, by the plan's estimate, have their groups sorted whole.
-SORTED_BYTES = 4 << 30
+#: Of inputs that the plan estimates at no more bytes than one task takes, groups are sorted whole instead.
+SORTED_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -50,12 +47,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join on ``keys`` in which nulls are equal; without keys, ``right`` has at most one row."""
-    q = [quoted(k) for k in keys]
-    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(q)], *[quoted(c) for c in right.columns if c not in keys])
+    renamed = right.select(*[F.col(k).alias(f"right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     if not keys:
         return left.join(F.broadcast(renamed), F.lit(True), how)
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(q)])
-    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"right_{k}" for k in keys])
 
 
 def _range_of(v: Column, splits: Column) -> Column:
@@ -64,84 +60,80 @@ def _range_of(v: Column, splits: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= F.size(splits)) & (F.get(splits, at + s - 1) <= v), at + s).otherwise(at))
 
 
-def _percentiles(df: DataFrame, keys: list[str], field: str, funcs: list[ast.Func]) -> DataFrame:
-    """``keys`` and the exact percentiles of one measured field (column ``field``).
+def _percentiles(df: DataFrame, keys: list[str], funcs: dict[str, ast.Func]) -> DataFrame:
+    """``keys`` and the exact percentiles ``funcs`` (by the name of their column) of the column ``x``.
 
-    Distinct values are counted. A small input's are sorted, with a running sum. Those of a large
-    one are cut into ranges by approximate quantiles of their group. The
-    ranges' counts tell which of them a percentile's index falls in, and only the values of these
-    are sorted: the part of a hot group that a task sees is a range, not the group.
+    Distinct values are counted. Those of a small input are sorted, with a running sum. A larger one's
+    groups are cut into ranges by their approximate quantiles. The ranges' counts tell which of them a percentile's index falls in, and only the values of these
+    are sorted: what a task sees of a hot group is a range, not the group.
     """
-    q = [quoted(k) for k in keys]
-    counts = df.groupBy(*q, F.col(quoted(field)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*q) if q else Window.partitionBy(F.lit(0))
-    index = [F.least(F.floor(F.lit(f.p / 100.0) * F.col("_n")), F.col("_n") - 1) for f in funcs]
+    counts = df.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    index = {name: F.least(F.floor(F.lit(f.p / 100.0) * F.col("n")), F.col("n") - 1) for name, f in funcs.items()}
     if estimated_bytes(df) <= SORTED_BYTES:
-        running = counts.select("*", F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"), F.sum("_c").over(group).alias("_n"))
-        return running.groupBy(*q).agg(*[F.min(F.when(F.col("_cum") > i, F.col("_v"))).alias(f.column) for f, i in zip(funcs, index, strict=True)])
-    splits = counts.groupBy(*q).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_s"))
-    ranged = _joined(counts, splits, keys).withColumn("_r", _range_of(F.col("_v"), F.col("_s"))).drop("_s")
-    sums = ranged.groupBy(*q, "_r").agg(F.sum("_c").alias("_rc"))
+        running = counts.select("*", F.sum("c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.sum("c").over(group).alias("n"))
+        return running.groupBy(*keys).agg(*[F.min(F.when(F.col("so_far") > i, F.col("x"))).alias(name) for name, i in index.items()])
+    splits = counts.groupBy(*keys).agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("splits"))
+    ranged = _joined(counts, splits, keys).withColumn("r", _range_of(F.col("x"), F.col("splits"))).drop("splits")
+    sums = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("rc"))
     # at most RANGES rows for each group
-    placed = sums.select("*", (F.sum("_rc").over(group.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rc")).alias("_before"), F.sum("_rc").over(group).alias("_n"))
-    hit = reduce(lambda a, b: a | b, [(F.col("_before") <= i) & (i < F.col("_before") + F.col("_rc")) for i in index])
-    inside = _joined(ranged, placed.where(hit), [*keys, "_r"])
-    so_far = F.col("_before") + F.sum("_c").over(Window.partitionBy(*q, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    here = inside.select("*", so_far.alias("_cum"))
-    picked = [F.min(F.when((F.col("_before") <= i) & (F.col("_cum") > i), F.col("_v"))).alias(f.column) for f, i in zip(funcs, index, strict=True)]
-    return here.groupBy(*q).agg(*picked)
+    placed = sums.select("*", (F.sum("rc").over(group.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rc")).alias("before"), F.sum("rc").over(group).alias("n"))
+    hit = reduce(lambda a, b: a | b, [(F.col("before") <= i) & (i < F.col("before") + F.col("rc")) for i in index.values()])
+    inside = _joined(ranged, placed.where(hit), [*keys, "r"])
+    so_far = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    here = inside.select("*", so_far.alias("so_far"))
+    return here.groupBy(*keys).agg(*[F.min(F.when((F.col("before") <= i) & (F.col("so_far") > i), F.col("x"))).alias(name) for name, i in index.items()])
 
 
 def aggregate(df: DataFrame, stage: ast.Aggregate, time: str | None = None) -> DataFrame:
     """Keys, window_start and window_end (if windowed), and a column for each function.
 
-    Without rows there are no groups, not even the global one.
+    Without rows there are no groups, not even the global one. Inside, keys and metrics go by
+    numbers, so that columns may have any name.
     """
     if stage.where is not None:
         df = keep(df, stage.where)
     streaming = df.isStreaming
     resolve = Resolver(df)
-    funcs = list(dict.fromkeys(stage.funcs))
-    late = [f for f in funcs if f.name == "percentile"] if not streaming else []
+    metrics = {f"m{i}": f for i, f in enumerate(dict.fromkeys(stage.funcs))}
+    late = {m: f for m, f in metrics.items() if f.name == "percentile" and not streaming}
     window = None
     if stage.window is not None:
         df, window = windowed(df, time, stage.window)
-    keys = [resolve(k).value().alias(k) for k in dict.fromkeys(stage.by)]
-    names = list(dict.fromkeys(stage.by))
-    group = [*keys, *([window.alias("_window")] if window is not None else [])]
-    now = [f for f in funcs if f not in late]
-    metrics = [_metric(f, resolve, streaming).alias(f.column) for f in now]
-    out = df.groupBy(*group).agg(*metrics, F.count(F.lit(1)).alias(_HIDDEN))
+    keys = {f"k{i}": name for i, name in enumerate(dict.fromkeys(stage.by))}
+    by = [resolve(name).value().alias(k) for k, name in keys.items()]
+    group = [*by, *([window.alias("w")] if window is not None else [])]
+    out = df.groupBy(*group).agg(*[_metric(f, resolve, streaming).alias(m) for m, f in metrics.items() if m not in late], F.count(F.lit(1)).alias("rows"))
     if not group:
-        out = out.where(F.col(_HIDDEN) > 0)
-    shared = [*names, *(["_window"] if window is not None else [])]
-    if late:
-        for field in dict.fromkeys(f.field for f in late):
-            mine = [f for f in late if f.field == field]
-            if window is not None and stage.window.kind == "session":
-                # a session is only known once events are grouped: take its bounds, then the events inside
-                values = _session_values(df, out, resolve, keys, names, time, field)
-            else:
-                values = df.select(*group, resolve(field).measure().alias("_m"))
-            part = _percentiles(values, shared, "_m", mine)
-            out = _joined(out, part, shared, "left")
-    order = [F.col(quoted(k)) for k in names]
-    edges = bounds(F.col("_window"), stage.window) if window is not None else []
-    return out.select(*order, *edges, *[F.col(quoted(f.column)) for f in funcs])
-
-
-def _session_values(df: DataFrame, sessions: DataFrame, resolve: Resolver, keys: list[Column], names: list[str], time: str, field: str) -> DataFrame:
-    """Each event's measure with the session it fell in: the last one of its keys that starts no later."""
-    events = df.select(*keys, F.col(time).alias("_at"), resolve(field).measure().alias("_m"), F.lit(None).cast(sessions.schema["_window"].dataType).alias("_window"))
-    starts = sessions.select(*[F.col(quoted(k)) for k in names], F.col("_window.start").alias("_at"), F.lit(None).cast("double").alias("_m"), "_window")
-    over = Window.partitionBy(*[quoted(k) for k in names]) if names else Window.partitionBy(F.lit(0))
-    both = events.unionByName(starts)
-    last = F.last("_window", ignorenulls=True).over(over.orderBy("_at", F.col("_window").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    return both.select(*[F.col(quoted(k)) for k in names], "_m", F.col("_window").isNull().alias("_event"), last.alias("_in")).where("_event").select(*[F.col(quoted(k)) for k in names], "_m", F.col("_in").alias("_window"))
+        out = out.where("rows > 0")
+    shared = [*keys, *(["w"] if window is not None else [])]
+    for field in dict.fromkeys(f.field for f in late.values()):
+        if window is not None and stage.window.kind == "session":
+            # a session is only known once events are grouped: take its bounds, then the events inside
+            values = _session_values(df.select(*by, F.col(quoted(time)).alias("at"), resolve(field).measure().alias("x")), out, list(keys))
+        else:
+            values = df.select(*group, resolve(field).measure().alias("x"))
+        part = _percentiles(values, shared, {m: f for m, f in late.items() if f.field == field})
+        out = _joined(out, part, shared, "left")
+    edges = bounds(F.col("w"), stage.window) if window is not None else []
+    return out.select(*[F.col(k).alias(name) for k, name in keys.items()], *edges, *[F.col(m).alias(f.column) for m, f in metrics.items()])
+
+
+def _session_values(events: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """Each event's measure (``x``) with the session ``w`` it fell in: the last one of its keys that starts no later."""
+    kind = sessions.schema["w"].dataType
+    starts = sessions.select(*keys, F.col("w.start").alias("at"), F.lit(None).cast("double").alias("x"), "w")
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    both = events.select(*keys, "at", "x", F.lit(None).cast(kind).alias("w")).unionByName(starts)
+    last = F.last("w", ignorenulls=True).over(over.orderBy("at", F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return both.select(*keys, "x", F.col("w").isNull().alias("event"), last.alias("inside")).where("event").select(*keys, "x", F.col("inside").alias("w"))
 
 
 def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
-    """``df`` with the aggregates of its group up to each row, in time order (then ``seq``, if there is one)."""
+    """``df`` with the aggregates of its group up to each row, in time order (then ``seq``, if there is one).
+
+    A column of ``df`` with the name of an aggregate gives way to it.
+    """
     if stage.window is not None:
         raise ValueError("a running aggregate has no window")
     if stage.where is not None:
@@ -160,4 +152,5 @@ def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
         else:
             col = _metric(f, resolve, False).over(over)
         out.append(col.alias(f.column))
-    return df.select("*", *out)
+    new = {f.column.lower() for f in stage.funcs}
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in new], *out)

@@ -32,7 +32,8 @@ def _side(df: DataFrame, where: ast.Expr | None, time: str, keys: list[str], pre
 
 def band_join(left: DataFrame, right: DataFrame, within_ms: int, n_keys: int = 0, ordered: bool = False, left_kind=None, right_kind=None) -> DataFrame:
     """Pairs of sides made by ``_side``: ``0 <= right - left <= w`` if ordered, else ``|left - right| <= w``."""
-    width = within_ms * 1000
+    # a band of zero pairs equal times; its bins are a millisecond wide
+    width = max(1, within_ms) * 1000
     l_us = micros(F.col("_left_time"), left_kind)
     r_us = micros(F.col("_right_time"), right_kind)
     bin_of = lambda us: F.floor(us / F.lit(width)).cast("long")

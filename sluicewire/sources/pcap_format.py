@@ -5,7 +5,7 @@ stores that only Spark's readers reach, use ``read_pcap(..., whole=True)``. A fi
 packet and never whole.
 
 - ``spark.read``: columns are flat (``tcp_dst_port``, ``ip_src``, …), so Spark pushes equality on them
-  into the decoder where ``spark.sql.python.filterPushdown.enabled`` is on.
+  into the decoder.
 - ``spark.readStream``: the offset is a byte position for each file, so packets that a running
   capture appends come as they are written, and a restarted query goes on where it stopped.
 - ``df.write``: ``timestamp_ns`` and ``frame`` (an Ethernet frame) to one capture for each task.
@@ -192,4 +192,6 @@ class PcapDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session, and lets Spark push predicates into its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PcapDataSource)

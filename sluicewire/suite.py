@@ -93,6 +93,19 @@ def agg_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(events, "aggregate count(), sum(props.k), avg(absent), min(event_type) by event_type").withColumn("props.k", F.round("`props.k`", 6))
 
 
+_CLASH = "SELECT event_type AS _window, user_id % 3 AS x, value AS k0, ts FROM events"
+
+
+@register(
+    "agg_names",
+    f"SELECT _window, x, make_timestamp(epoch_us(ts) // {HOUR_US * 24} * {HOUR_US * 24}) AS window_start, make_timestamp(epoch_us(ts) // {HOUR_US * 24} * {HOUR_US * 24} + {HOUR_US * 24}) AS window_end, count(*) AS count, list_sort(list(k0))[least(CAST(floor(0.5::DOUBLE * count(*)) AS BIGINT), count(*) - 1) + 1] AS p50_k0, max(k0) AS max_k0 FROM ({_CLASH}) GROUP BY ALL",
+)
+def agg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are called like those inside the operator."""
+    events = table(spark, sf_dir, "events").selectExpr("event_type AS _window", "user_id % 3 AS x", "value AS k0", "ts")
+    return query(events, "aggregate count(), percentile(k0, 50), max(k0) by _window, x window 24h")
+
+
 text_query("agg_having", "events", "aggregate count(), avg(value) by user_id | count > 60 | show user_id, count", "SELECT user_id, count(*) AS count FROM events GROUP BY user_id HAVING count(*) > 60")
 
 # windows
@@ -143,7 +156,7 @@ text_query(
 def agg_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", F.col("event_id").alias("seq"))
     out = query(events, "aggregate count(), sum(value), min(value) by user_id", running=True)
-    return out.toDF("event_id", "user_id", "ts", "x", "seq", "count", "value", "min_value").select("event_id", "user_id", "count", F.round("value", 6).alias("value"), "min_value")
+    return out.select("event_id", "user_id", "count", F.round("value", 6).alias("value"), "min_value")
 
 
 # correlation
@@ -159,6 +172,7 @@ def _band(left: str, right: str, us: int, more: str = "") -> str:
 
 text_query("correlate_band", "events", "correlate event_type == error with event_type == click within 60s", _band("l.event_type = 'error'", "r.event_type = 'click'", 60_000_000), _flat)
 text_query("correlate_self", "events", "correlate event_type == error with value > 120 within 1m", _band("l.event_type = 'error'", "r.value > 120", 60_000_000), _flat)
+text_query("correlate_zero", "events", "correlate event_type == error with value > 120 within 0ms", _band("l.event_type = 'error'", "r.value > 120", 0), _flat)
 text_query("correlate_default", "events", "correlate value > 10 with value <= 150", _band("l.value > 10", "r.value <= 150", 100_000), _flat)
 text_query("correlate_id", "events", "correlate event_type == signup with event_type == purchase within 12h on user_id == user_id", _band("l.event_type = 'signup'", "r.event_type = 'purchase'", 12 * HOUR_US, " AND l.user_id = r.user_id"), _flat)
 text_query(
@@ -324,3 +338,6 @@ register(
     "flagship",
     f"SELECT user_id, make_timestamp(epoch_us(ts) // {HOUR_US} * {HOUR_US}) AS window_start, make_timestamp(epoch_us(ts) // {HOUR_US} * {HOUR_US} + {HOUR_US}) AS window_end, count(*) AS count, round(avg(value), 6) AS avg_value FROM events WHERE event_type = 'error' GROUP BY ALL",
 )(lambda spark, sf_dir: rounded("avg_value")(flagship(spark, sf_dir)))
+
+# these import this module's registry
+from . import suite_io  # noqa: E402, F401

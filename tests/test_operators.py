@@ -196,3 +196,18 @@ def test_payloads(calls):
     text = "correlate level == ERROR with level == INFO within 600ms"
     got = to_payload(query(calls, text), parse(text).stages[-1]).collect()[0]
     assert got["type"] == "correlation" and got["timestamp_ns"] == 1704067201500000000 and '"time_diff_ms":-600.0' in got["data"]
+
+
+def test_columns_may_be_called_like_those_inside(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", 2.0, 3.0), (1, 5.0, "a", 2.0, 4.0), (2, 3.0, None, 1.0, 5.0)], "k0 int, x double, w string, count double, m0 double").withColumn("ts", F.timestamp_seconds("m0"))
+    for limit in (aggregates.SORTED_BYTES, 0):
+        aggregates.SORTED_BYTES, before = limit, aggregates.SORTED_BYTES
+        try:
+            got = query(df, "aggregate percentile(x, 50), sum(m0), count() by k0, w").collect()
+        finally:
+            aggregates.SORTED_BYTES = before
+        assert sorted(map(tuple, got), key=str) == [(1, "a", 5.0, 7.0, 2), (2, None, 3.0, 5.0, 1)]
+    got = query(df, "aggregate percentile(x, 50) by w window session(10s)")
+    assert got.columns == ["w", "window_start", "window_end", "p50_x"] and got.count() == 2
+    run = query(df, "aggregate count(), sum(x) by k0", running=True)
+    assert run.columns == ["k0", "w", "m0", "ts", "count", "x"] and sorted(r["count"] for r in run.collect()) == [1, 1, 2]

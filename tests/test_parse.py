@@ -10,7 +10,8 @@ def test_every_stage_kind():
 
 def test_correlate_defaults_to_100_ms():
     assert parse("correlate a with b").stages[0].within_ms == 100
-    assert parse("correlate a with b within 0ms").stages[0].within_ms == 100
+    # a band that is asked to be zero is zero
+    assert parse("correlate a with b within 0ms").stages[0].within_ms == 0
     assert parse("correlate a with b within 2m").stages[0].within_ms == 120_000
 
 
