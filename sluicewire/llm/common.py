@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.places import remove, shared_folder
+
+__all__ = ["ASCII_WORD", "beside", "documents", "durable", "holds", "named", "remove", "shared_folder", "shuffle_partitions", "spare", "split_join", "written"]
+
 #: The white space that ends a word in every contract here: space and \t \n \v \f \r.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,27 +44,36 @@ def beside(df: DataFrame, result: Column, fields: list[str], keep: list[str] | N
     return df.select(*map(named, rest), result.alias(got)).select(*map(named, rest), *[F.col(f"{got}.{f}") for f in fields])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which was grouped by ``keys``, so that Spark may split a hot key of ``left``.
 
-    Without that setting only a local master, whose one machine holds all, gets a temporary folder;
-    a cluster would lose what it writes there, so it must name one.
+    Spark splits a partition only if both sides come straight from an exchange. A grouped side would
+    be joined as it was grouped; a hash of the keys as one more key has it exchanged once more.
     """
-    sc = spark.sparkContext
-    place = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not place:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="sluicewire-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(place)
-    return place
+    hashed = F.xxhash64(*map(named, keys))
+    return left.withColumn("join_hash", hashed).join(right.withColumn("join_hash", hashed), [*keys, "join_hash"]).drop("join_hash")
+
+
+#: What this worker remembers between batches, by owner, and how to forget it.
+_held: dict[str, Callable[[], None]] = {}
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate data, wherever Spark's file systems keep it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def holds(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Says that ``owner`` is at work here, and how it forgets what it remembers; all others forget now.
+
+    A worker lives on from stage to stage, and what one stage remembered is of no use to the next.
+    """
+    if forget is not None:
+        _held[owner] = forget
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+
+
+def written(df: DataFrame) -> str:
+    """The folder that ``df`` was written to as parquet, in the folder that all executors share; whoever asked removes it."""
+    place = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return place
 
 
 def durable(df: DataFrame) -> DataFrame:

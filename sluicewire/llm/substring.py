@@ -1,18 +1,23 @@
-"""Substring deduplication over a sampled token De Bruijn graph.
-
-Edges are token k-mers. Of the k-mers inside each window of ``window`` tokens the one of least hash
-is an edge of the graph (so equal windows give equal edges, and no repeated window is without one).
-An edge's path is all that windows through it can reach: the tokens up to ``window - k`` before
-and after it.
-
-- Edges of one document only are dropped: nothing repeats there.
-- If all sources of a repeated edge take the same path, it doesn't branch. The path is compacted to
-  one record, and a join with the edge's occurrences settles every window on it at once.
-- Where sources branch, the first source of each path lists its windows one by one, and a join on
-  the windows (128 bits of hash) finds those that an earlier document also has.
-
-Each document is then read again at its own coordinates: paths and windows found are laid on it, and
-where they overlap they merge into the long repeated spans that are removed.
+"""Substring deduplication by compacting a sampled token De Bruijn graph.
+
+The graph's edges are token k-mers in their surroundings. Of the k-mers inside each window of
+``window`` tokens the one of least hash is taken (so equal windows take equal k-mers, and no repeated
+window is without one), and an edge is such a k-mer with the tokens that windows through it can reach:
+up to ``window - k`` before and after it. Successor edges are those of a document's next k-mer. All
+k-mers can't be edges: their rows alone would be several times the corpus.
+
+- K-mers of one document only are dropped: nothing repeats there.
+- An edge whose every occurrence is followed by the same edge, at the same distance, which occurs
+  nowhere else, doesn't branch there. A join of edges with their successors finds these links, and
+  runs of linked edges are compacted to one path, a row with its first edge, number of edges and first
+  source. All sources of an edge run through its whole path, so a later source needs one row a path.
+- Where the surroundings of a k-mer branch, the first source of each of its edges lists its windows
+  one by one, and a join on the windows finds those that an earlier document also has.
+
+Each path is then verified at its coordinates in its first and its later sources: the tokens of both,
+digested to 128 bits, must be the same. Windows are compared by 128 bits of hash. Verified paths
+and windows are laid on each document, and where they overlap they merge into the long repeated
+spans that are removed.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable
+from .common import documents, durable, holds, named, remove, spare, split_join, written
 
 WINDOW, K = 50, 12
+#: Bits of the distance to the next k-mer, below the position in ``place``.
+GAP_BITS = 20
 #: Word hashes remembered by one worker.
 REMEMBERED = 500_000
 _M64 = (1 << 64) - 1
@@ -75,6 +82,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _forget() -> None:
+    _words.clear()
+    _powers.clear()
+
+
 class Rolling:
     """Hashes of any stretches of a token sequence in constant time each."""
 
@@ -96,51 +108,75 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 class Scan:
-    """A document's edges and their paths.
+    """A document's sampled k-mers and the edges that they are.
 
-    ``at``: token positions of the edges; ``edge`` their hashes; ``lo``, ``hi``: the path's bounds;
-    ``path`` its hash; ``least``: each window's edge hash.
+    ``at``: token positions of the k-mers; ``kmer`` their hashes; ``lo``, ``hi``: the bounds of their
+    surroundings; ``edge``: the hash of these; ``least``: each window's k-mer hash.
     """
 
     def __init__(self, words: list[bytes], window: int, k: int):
         n, reach = len(words), window - k + 1
         first = word_hashes(words)
-        self.n, self.window, self.k, self.first = n, window, k, first
+        self.words, self.n, self.window, self.first = words, n, window, first
         roll = Rolling(first, _BASES[0])
         self.roll = roll
         start = np.arange(n - k + 1)
-        edge = roll.of(start, start + k)
-        self.least = _slide(edge, reach, np.minimum)
+        kmer = roll.of(start, start + k)
+        self.least = _slide(kmer, reach, np.minimum)
         pad = np.zeros(reach - 1, np.uint64)
-        self.at = np.flatnonzero(_slide(np.concatenate([pad, self.least, pad]), reach, np.maximum) == edge)
-        self.edge = edge[self.at]
+        self.at = np.flatnonzero(_slide(np.concatenate([pad, self.least, pad]), reach, np.maximum) == kmer)
+        self.kmer = kmer[self.at]
         self.lo, self.hi = np.maximum(self.at + k - window, 0), np.minimum(self.at + window, n)
-        self.path = _mix(roll.of(self.lo, self.hi) + _mix((self.at - self.lo).astype(np.uint64) << np.uint64(32) | (self.hi - self.at).astype(np.uint64)))
-
-    def windows_through(self, paths: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose edge lies on one of ``paths``."""
+        self.edge = _mix(roll.of(self.lo, self.hi) + _mix((self.at - self.lo).astype(np.uint64) << np.uint64(32) | (self.hi - self.at).astype(np.uint64)))
+
+    def successions(self) -> tuple[np.ndarray, ...]:
+        """Distinct (edge, next edge, distance): k-mer, edge, next (0 at the end), first position and distance in one number, occurrences."""
+        following = np.append(self.edge[1:], np.uint64(0))
+        gap = np.append(np.diff(self.at), 0)
+        _, one, n = np.unique(_mix(self.edge + _mix(following + gap.astype(np.uint64))), return_index=True, return_counts=True)
+        return self.kmer[one], self.edge[one], following[one], self.at[one] << GAP_BITS | gap[one], n
+
+    def spans(self, first: int, edges: int) -> list[tuple[int, int]]:
+        """Where paths of so many edges that begin with the edge ``first`` lie."""
+        at = np.flatnonzero(self.edge == np.uint64(first))
+        return [(int(self.lo[i]), int(self.hi[i + edges - 1])) for i in at.tolist() if i + edges <= len(self.at)]
+
+    def digest(self, lo: int, hi: int) -> tuple[int, int]:
+        """128 bits of the tokens from ``lo`` to ``hi``, as signed longs."""
+        raw = hashlib.blake2b(b" ".join(self.words[lo:hi]), digest_size=16).digest()
+        return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+    def windows_through(self, edges: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose k-mer is one of ``edges``."""
         chosen = np.zeros(len(self.least), dtype=bool)
-        for i in np.flatnonzero(np.isin(self.path, paths)).tolist():
+        for i in np.flatnonzero(np.isin(self.edge, edges)).tolist():
             lo, hi = int(self.lo[i]), min(int(self.at[i]), len(self.least) - 1) + 1
-            chosen[lo:hi] |= self.least[lo:hi] == self.edge[i]
+            chosen[lo:hi] |= self.least[lo:hi] == self.kmer[i]
         return np.flatnonzero(chosen)
 
-    def window_hash(self, start: np.ndarray) -> np.ndarray:
-        return self.roll.of(start, start + self.window)
+    def window_hashes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each window."""
+        other = Rolling(_mix(self.first + np.uint64(_BASES[1])), _BASES[1])
+        return self.roll.of(start, start + self.window), other.of(start, start + self.window)
 
-    def window_hash2(self, start: np.ndarray) -> np.ndarray:
-        return Rolling(_mix(self.first + np.uint64(_BASES[1])), _BASES[1]).of(start, start + self.window)
-
-    def removed(self, found: np.ndarray) -> np.ndarray:
-        """Which tokens are covered, given the hashes of paths and windows that an earlier document has."""
+    def removed(self, paths: list[tuple[int, int, int, int]], windows: dict[int, int]) -> np.ndarray:
+        """Which tokens are covered by verified paths (first edge, edges, digest) or by windows (hash and the other one) of an earlier document."""
         step = np.zeros(self.n + 1, dtype=np.int32)
-        on = np.isin(self.path, found)
-        np.add.at(step, self.lo[on], 1)
-        np.add.at(step, self.hi[on], -1)
-        start = np.arange(len(self.least))
-        start = start[np.isin(self.window_hash(start), found)]
-        np.add.at(step, start, 1)
-        np.add.at(step, start + self.window, -1)
+        for first, edges, d1, d2 in paths:
+            for lo, hi in self.spans(first % (1 << 64), edges):
+                if self.digest(lo, hi) == (d1, d2):
+                    step[lo] += 1
+                    step[hi] -= 1
+        if windows:
+            w1, w2 = self.window_hashes(np.arange(len(self.least)))
+            have1 = np.fromiter(windows, np.int64, len(windows)).view(np.uint64)
+            have2 = np.fromiter(windows.values(), np.int64, len(windows)).view(np.uint64)
+            order = np.argsort(have1)
+            have1, have2 = have1[order], have2[order]
+            place = np.minimum(np.searchsorted(have1, w1), len(have1) - 1)
+            start = np.flatnonzero((have1[place] == w1) & (have2[place] == w2))
+            np.add.at(step, start, 1)
+            np.add.at(step, start + self.window, -1)
         return np.cumsum(step[:-1]) > 0
 
 
@@ -153,41 +189,54 @@ def _longs(names: str) -> tuple[str, pa.Schema]:
     return ", ".join(f"{x} long" for x in names.split()), pa.schema([(x, pa.int64()) for x in names.split()])
 
 
-_EDGES_DDL, _EDGES = _longs("edge path doc_id")
-_WINDOWS_DDL, _WINDOWS = _longs("w1 w2 doc_id")
+_EDGES_DDL, _EDGES = _longs("kmer edge next place n doc_id")
+_FOUND_DDL, _FOUND = _longs("key other doc_id digest")
 
 
 def _edges(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("words", _forget)
         for batch in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[] for _ in _EDGES.names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (text.as_py() or "").encode().split()
                 if doc_id is None or len(words) < window:
                     continue
-                scan = Scan(words, window, k)
-                path, one = np.unique(scan.path, return_index=True)
-                for c, x in zip(cols, (scan.edge[one], path, np.full(len(path), doc_id, np.int64)), strict=True):
+                found = Scan(words, window, k).successions()
+                for c, x in zip(cols, (*found, np.full(len(found[0]), doc_id, np.int64)), strict=True):
                     c.append(x)
             yield _out(_EDGES, cols)
 
     return run
 
 
-def _branch_windows(window: int, k: int):
+def _at_sources(window: int, k: int):
+    """At the first sources: the windows of branching edges (``digest`` null), and the digests of paths (halves in ``other`` and ``digest``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("words", _forget)
         for batch in batches:
-            cols: list[list] = [[], [], []]
-            for doc_id, text, paths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = (text.as_py() or "").encode().split() if paths.is_valid else []
+            keys, others, docs, digests = [], [], [], []
+            for doc_id, text, branching, paths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                words = (text.as_py() or "").encode().split() if branching.is_valid or paths.is_valid else []
                 if len(words) < window:
                     continue
                 scan = Scan(words, window, k)
-                start = scan.windows_through(np.asarray(paths.values).view(np.uint64))
-                w1, one = np.unique(scan.window_hash(start), return_index=True)
-                for c, x in zip(cols, (w1, scan.window_hash2(start[one]), np.full(len(w1), doc_id, np.int64)), strict=True):
-                    c.append(x)
-            yield _out(_WINDOWS, cols)
+                if branching.is_valid and len(branching):
+                    w1, w2 = scan.window_hashes(scan.windows_through(np.asarray(branching.values).view(np.uint64)))
+                    w1, one = np.unique(w1, return_index=True)
+                    keys.append(pa.array(w1.view(np.int64)))
+                    others.append(pa.array(w2[one].view(np.int64)))
+                    docs.append(pa.array(np.full(len(w1), doc_id, np.int64)))
+                    digests.append(pa.nulls(len(w1), pa.int64()))
+                rows = [(p["first"], *scan.digest(*spans[0])) for p in paths.as_py() or () if (spans := scan.spans(p["first"] % (1 << 64), p["edges"]))]
+                if rows:
+                    first, d1, d2 = zip(*rows, strict=True)
+                    keys.append(pa.array(first, pa.int64()))
+                    others.append(pa.array(d1, pa.int64()))
+                    docs.append(pa.array(np.full(len(rows), doc_id, np.int64)))
+                    digests.append(pa.array(d2, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], pa.int64()), *c]) for c in (keys, others, docs, digests)], schema=_FOUND)
 
     return run
 
@@ -197,13 +246,21 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 
 def _lay(window: int, k: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("words", _forget)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n, gone = len(words), 0
                 if found.is_valid and n >= window:
-                    removed = Scan(words, window, k).removed(np.asarray(found.values).view(np.uint64))
+                    paths, windows = [], {}
+                    key, edges, other, half = (found.values.field(i) for i in range(4))
+                    for a, m, b, c in zip(key.to_pylist(), edges.to_pylist(), other.to_pylist(), half.to_pylist(), strict=True):
+                        if m:
+                            paths.append((a, m, b, c))
+                        else:
+                            windows[a] = b
+                    removed = Scan(words, window, k).removed(paths, windows)
                     gone = int(removed.sum())
                     words = [w for w, r in zip(words, removed.tolist(), strict=True) if not r]
                 kept = b" ".join(words)
@@ -214,42 +271,73 @@ def _lay(window: int, k: int, digest: bool):
     return run
 
 
-def repeated_hashes(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, found): for each document the hashes of its paths and windows that an earlier one has."""
-    edges = docs.mapInArrow(_edges(window, k), _EDGES_DDL)
-    repeated = edges.groupBy("edge").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("path") < F.max("path")).alias("branches")).where("d0 < d1").select("edge", "branches")
-    # written first, so that the join below is between plain exchanges, whose hot partitions Spark splits
-    occur = durable(edges.join(durable(repeated), "edge"))
-    paths = durable(occur.groupBy("edge", "path", "branches").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    # compacted: later sources of a path
-    later = occur.join(paths.where("first < last").select("path", "edge", "first"), ["edge", "path"]).where("doc_id > first").select("doc_id", F.col("path").alias("h"))
-    # branching: windows of each path, as its first source has them
-    firsts = paths.where("branches").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("path").alias("paths"))
+def compacted(edges: DataFrame) -> DataFrame:
+    """(first, edges, source): the paths of ``edges`` (edge, n, next, gap, source, at), by their first edge, and their first source.
+
+    ``next`` and ``gap`` are null where occurrences differ in them. An edge is linked to its successor
+    if both occur equally often, for then no occurrence of the successor is behind another edge. Both
+    have the same sources, and lie behind each other in the first; so runs of links are runs there.
+    """
+    after = edges.select(F.col("next").alias("edge"), F.col("n").alias("n_before"), F.col("edge").alias("before")).where("edge is not null")
+    linked = edges.join(after, "edge", "left").select("edge", "source", "at", F.when((F.col("n_before") == F.col("n")) & (F.col("before") != F.col("edge")), F.col("before")).alias("before"))
+    # two edges may have the same successor; then it occurs more often than either, and is linked to none
+    one = linked.groupBy("edge", "source", "at").agg(F.max("before").alias("before"))
+    order = Window.partitionBy("source").orderBy("at", "edge")
+    begins = F.coalesce(F.col("before") != F.lag("edge").over(order), F.lit(True))
+    runs = one.select("*", begins.cast("int").alias("begins")).select("*", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    return runs.groupBy("source", "run").agg(F.min_by("edge", F.struct("at", "edge")).alias("first"), F.count(F.lit(1)).cast("int").alias("edges")).select("first", "edges", "source")
+
+
+def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc_id, found): for each document its paths and windows that an earlier one has."""
+    spark = docs.sparkSession
+    place = written(docs.mapInArrow(_edges(window, k), _EDGES_DDL))
+    rows = spark.read.parquet(place)
+    repeated = rows.groupBy("kmer").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("edge") < F.max("edge")).alias("branches")).where("d0 < d1").select("kmer", "branches")
+    occur = durable(split_join(rows, repeated, ["kmer"]).drop("kmer"))
+    remove(spark, place)
+    gap = F.col("place").bitwiseAND(F.lit((1 << GAP_BITS) - 1).cast("long"))
+    only = lambda a, c: F.when(F.min(c) == F.max(c), F.min(c)).alias(a)
+    edges = durable(occur.groupBy("edge").agg(F.max("branches").alias("branches"), F.min(F.struct("doc_id", "place")).alias("begin"), F.max("doc_id").alias("last"), F.sum("n").alias("n"), only("next", F.col("next")), only("gap", gap)))
+    shared = edges.where("begin.doc_id < last").select("edge", "n", F.when(F.col("gap").isNotNull() & (F.col("next") != 0), F.col("next")).alias("next"), F.col("begin.doc_id").alias("source"), F.col("begin.place").alias("at"))
+    paths = durable(compacted(shared))
+    sources = edges.where("branches").select(F.col("begin.doc_id").alias("doc_id"), F.col("edge").alias("branching"), F.lit(None).cast("struct<first:long,edges:int>").alias("path"))
+    sources = sources.unionByName(paths.select(F.col("source").alias("doc_id"), F.lit(None).cast("long").alias("branching"), F.struct("first", "edges").alias("path")))
+    # bounded by the document's own number of edges
+    sources = sources.groupBy("doc_id").agg(F.collect_set("branching").alias("branching"), F.collect_list("path").alias("paths"))
     # an outer join, like that of the result, so that both read one exchange of the texts
-    windows = docs.join(firsts, "doc_id", "left").select("doc_id", "text", "paths").mapInArrow(_branch_windows(window, k), _WINDOWS_DDL).repartition("w1", "w2")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = windows.join(least, ["w1", "w2"]).where("doc_id > first").select("doc_id", F.col("w1").alias("h"))
+    at_sources = docs.join(sources, "doc_id", "left").select("doc_id", "text", "branching", "paths").mapInArrow(_at_sources(window, k), _FOUND_DDL).repartition("key", "other")
+    windows = at_sources.where("digest is null").select("key", "other", "doc_id")
+    least = windows.groupBy("key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    again = windows.join(least, ["key", "other"]).where("doc_id > first").select("doc_id", F.struct("key", F.lit(0).alias("edges"), "other", F.lit(0).cast("long").alias("digest")).alias("f"))
+    # rows that share a key may both have a path
+    digests = at_sources.where("digest is not null").groupBy("key").agg(F.min(F.struct("other", "digest")).alias("d"))
+    known = paths.join(digests, F.col("first") == F.col("key")).select("first", "edges", "source", "d")
+    later = occur.select(F.col("edge").alias("first"), "doc_id").join(known, "first").where("doc_id > source").select("doc_id", F.struct(F.col("first").alias("key"), "edges", "d.other", "d.digest").alias("f"))
     # bounded by the document's own number of edges and windows
-    return later.unionByName(again).groupBy("doc_id").agg(F.collect_set("h").alias("found"))
+    return later.unionByName(again).groupBy("doc_id").agg(F.collect_set("f").alias("found"))
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, k: int = K, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words that stay, joined by one space (or, with ``digest``, their SHA-256).
+    """The key, n_words, n_removed, kept: the words that stay, joined by one space (or, with ``digest``, their SHA-256).
 
     A word goes if a window of ``window`` words over it also starts in a document of a smaller key.
     Windows are judged on the input; copies inside a document don't count. Words end at ASCII white
-    space. A null text has no words. Rows of a null key lose nothing and take nothing from others;
-    rows that share a key count as one document. Repeated rows stay. An empty table gives no rows.
+    space. A null text has no words; a text of any length is read whole. Rows of a null key lose
+    nothing and take nothing from others; rows that share a key count as one document. Repeated rows
+    stay. Other columns are not read, whatever their names; a key that is called like a result makes
+    way by an underscore at that result's name. An empty table gives no rows.
     """
-    if not 0 < k <= window:
+    if not 0 < k <= window < 1 << GAP_BITS:
         raise ValueError("k must be between 1 and the window")
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = repeated_hashes(docs, window, k)
+    docs = df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text"))
+    found = repeated_spans(docs, window, k)
     laid = docs.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_lay(window, k, digest), "doc_id long, n_words long, n_removed long, kept string")
-    return laid.withColumnRenamed("doc_id", key)
+    return laid.select(F.col("doc_id").alias(key), *[F.col(c).alias(spare([key], c)) for c in ("n_words", "n_removed", "kept")])
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without repeats; see :func:`remove_repeats` for nulls, ties, repeats and the rest."""
     return remove_repeats(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
