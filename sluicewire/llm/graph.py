@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, split_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,12 +22,12 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = _state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # written first, so that the join is between plain exchanges, whose hot partitions (a star's centre) Spark splits
-        least = durable(both.groupBy("a").agg(F.min("b").alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
-        down = durable(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        least = durable(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        # a star's centre may have a third of all edges
+        large = split_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = split_join(down, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = durable(small)
         before, state = state, _state(now)
         if state == before:

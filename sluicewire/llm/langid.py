@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, documents, durable, named
+from .common import beside, documents, durable, holds, named
 
 #: Lengths of the n-grams, and the least share of a language's n-grams of a length.
 SIZES = (3, 4)
@@ -184,6 +184,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(texts: pd.Series) -> pd.DataFrame:
+        holds("langid")
         f = shared.value
         pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         if f.languages:

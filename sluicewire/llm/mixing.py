@@ -45,9 +45,6 @@ def id_count(text: Column) -> Column:
         tokenizer = word_tokenizer()
         for texts in batches:
             yield pa.array([len(tokenizer.encode(t.as_py() or "")) // 4 for t in texts], pa.int64())
-        # the worker lives on in later stages, which start with nothing remembered
-        tokenizer.chunks.clear()
-        tokenizer.pieces.clear()
 
     return F.arrow_udf(run, "long")(text)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, named
 from .tokens import word_tokenizer
 
 #: A block holds at least so many ids unless the partition ends; it bounds a worker's memory.
@@ -144,10 +144,12 @@ def pack_table(df: DataFrame, window: int = 2048, tokenizer_path: str | None = N
     A document's ids are those of its text (null: none) and ``end_id``. Pieces of one sequence are
     in reading order at gapless offsets. Every row is packed, repeated rows and null keys too.
     Nothing is shuffled: each input partition is a stream of its own, and its windows do not depend
-    on other partitions. An empty table gives no pieces.
+    on other partitions. A text of any length is packed whole. Of windows of equal cost the shorter
+    one is taken. Other columns are not read, whatever their names. An empty table gives no pieces.
     """
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_packer(window, tokenizer_path, end_id), SCHEMA)
+    return df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text")).mapInArrow(_packer(window, tokenizer_path, end_id), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents``; see :func:`pack_table` for nulls, ties, repeats and the rest."""
     return pack_table(documents(spark, sf_dir))

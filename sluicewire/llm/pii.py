@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, holds, named
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -214,7 +214,11 @@ def _spans_of(texts: pd.Series) -> pd.Series:
 
 
 def spans(text: Column) -> Column:
-    """The spans of a text column; a null or empty text has none."""
+    """The spans of a text column, of every row and its whole text, whatever its length; a null or empty text has none.
+
+    Equal texts have equal spans. Base spans of one kind don't overlap; those of other kinds, and added
+    ones, may. Spans that start alike are ordered by their end. An empty table gives no rows.
+    """
     return F.pandas_udf(_spans_of, SPANS_TYPE)(text)
 
 
@@ -232,18 +236,21 @@ def redact_text(text: str | None) -> str | None:
 
 
 def _redacted(texts: pd.Series) -> pd.Series:
+    holds("pii")
     return texts.map(redact_text)
 
 
 def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``df`` with spans in ``text`` replaced by tags; ``length``, if it is a column, follows the new text.
 
-    Null texts stay null (with their old length); other columns are untouched.
+    Null texts stay null (with their old length), empty ones empty; texts of any length are read
+    whole. Rows, repeated ones too, and all other columns, whatever their names, stay as they are. An
+    empty table gives no rows.
     """
-    out = df.withColumn(text, F.pandas_udf(_redacted, "string")(F.col(text)))
+    out = df.withColumn(text, F.pandas_udf(_redacted, "string")(named(text)))
     if length and length in df.columns:
-        out = out.withColumn(length, F.coalesce(F.length(text).cast(df.schema[length].dataType), F.col(length)))
-    return out.select(*df.columns)
+        out = out.withColumn(length, F.coalesce(F.length(named(text)).cast(df.schema[length].dataType), named(length)))
+    return out.select(*map(named, df.columns))
 
 
 _DIGEST = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -260,5 +267,10 @@ def _digests(texts: pd.Series) -> pd.DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts cover base spans; ``spans`` lists these and the added ones."""
+    """Counts cover base spans; ``spans`` lists these and the added ones.
+
+    A row for each document, repeated ones too, of its whole text; null counts as the empty text. Of
+    spans that start alike the shorter comes first. Other columns are not read. An empty table gives
+    no rows.
+    """
     return documents(spark, sf_dir).select("doc_id", F.pandas_udf(_digests, _DIGEST)("text").alias("d")).select("doc_id", "d.*")

@@ -19,10 +19,11 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, documents, named
+from .common import beside, documents, holds, named
 
 DIMENSIONS = 1 << 18
 #: The fit uses at most so many labelled rows, those of least hash of their id.
@@ -95,16 +96,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> Model:
-    """Least penalised negative log-likelihood by Adam over all rows at once; grades 0 to ``top``. Empties ``rows``."""
-    if not len(rows):
+def fit_rows(slots: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, top: int) -> Model:
+    """Least penalised negative log-likelihood by Adam over all rows at once; grades 0 to ``top``.
+
+    The features of all rows stand end to end, ``lengths`` of them for each row.
+    """
+    n = len(grades)
+    if not n:
         # nothing learned: every text surely has the top grade, so nothing is rejected
         return Model(np.zeros(DIMENSIONS), np.full(top, -50.0))
-    slots = np.concatenate([a for a, _ in rows]).astype(np.int32)
-    values = np.concatenate([v for _, v in rows]).astype(np.float32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])
-    n = len(rows)
-    rows.clear()  # the arrays above hold all of it
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     used = np.bincount(slots, minlength=DIMENSIONS) >= MIN_ROWS
     on = used[slots]
     at = np.flatnonzero(used)
@@ -143,9 +144,10 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holds("quality", _tokens.clear)
     for batch in batches:
-        got = [features(t.as_py()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32())), batch.column(3)], names=["h", "t", "at", "value", "grade"])
+        got = [features(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32())), batch.column(1)], names=["at", "value", "grade"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -157,12 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).cast("int").alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    # at most `sample` rows of two numbers; ids may repeat in either table, so the bound is set once more
+    # at most `sample` rows of two numbers
     mine = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
-    found = mine.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text", "grade").select("h", "t", "text", "grade").mapInArrow(_feature_rows, "h long, t long, at array<int>, value array<float>, grade int")
-    rows = found.orderBy("h", "t", "grade").limit(sample).select("at", "value", "grade").toArrow()
-    grades = rows.column("grade").to_numpy().astype(np.int64)
-    return fit_rows([(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(rows.column("at"), rows.column("value"), strict=True)], grades, KEEP_GRADE)
+    if mine.select("id").count() > sample:  # ids repeat in one of the tables
+        mine = mine.orderBy(F.xxhash64("id"), F.xxhash64("text"), "grade").limit(sample)
+    rows = mine.select("text", "grade").mapInArrow(_feature_rows, "at array<int>, value array<float>, grade int").toArrow().combine_chunks()
+    at, value = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("at", "value"))
+    return fit_rows(at, value, pc.list_value_length(rows.column("at")).to_numpy(), rows.column("grade").to_numpy().astype(np.int64), KEEP_GRADE)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -176,11 +179,10 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        holds("quality", _tokens.clear)
         for texts in batches:
             tails = shared.value.tails(texts)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, KEEP_GRADE - 1]})
-        # the worker lives on in later stages, which start with nothing remembered
-        _tokens.clear()
 
     return beside(df, F.pandas_udf(run, "expected_grade double, tail_probability double")(named(text)), ["expected_grade", "tail_probability"])
 

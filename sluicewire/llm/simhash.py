@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable, named
+from .common import documents, durable, holds, named, split_join
 from .graph import stars
 
 BITS, RADIUS, WORDS = 64, 3, 3
@@ -55,6 +55,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _signed(texts: pd.Series) -> pd.Series:
+    holds("simhash")
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
@@ -213,7 +214,7 @@ def links(fps: DataFrame) -> DataFrame:
     rows, out = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), None
     for cut in range(len(CUTS)):
         keyed = _dealt(rows, cut)
-        # written first, so that the joins below are between plain exchanges, whose hot partitions Spark splits
+        # written, as both joins below take from it; they are between plain exchanges, whose hot partitions Spark splits
         sizes = durable(keyed.groupBy("mask", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         last = cut == len(CUTS) - 1
         few = sizes if last else sizes.where(F.col("n") <= LARGE)
@@ -235,9 +236,10 @@ def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     reps = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("rep")))
     tree = stars(links(reps.select("fp")))
-    member = durable(tree.unionByName(tree.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fp"))
-    first = durable(reps.join(member, "fp").groupBy("b").agg(F.min("rep").alias("first")))
-    of = durable(reps.join(member.join(first, "b").select("fp", "first"), "fp", "left").select("fp", F.coalesce("first", "rep").alias("first")))
+    member = tree.unionByName(tree.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "fp")
+    first = reps.join(member, "fp").groupBy("b").agg(F.min("rep").alias("first"))
+    # a component may hold a third of all fingerprints
+    of = durable(reps.join(split_join(member, first, ["b"]).select("fp", "first"), "fp", "left").select("fp", F.coalesce("first", "rep").alias("first")))
     return of, of.select("first").distinct()
 
 
@@ -267,7 +269,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     _, first = components(fingerprint_rows(df, key, text))
     id0 = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias("id0")
-    keep = durable(first.select("first.none", id0(F.col("first.doc_id")), "first.tx"))
+    keep = first.select("first.none", id0(F.col("first.doc_id")), "first.tx")
     rows = df.select(F.struct(*map(named, df.columns)).alias("row"), named(key).cast("long").alias("id"), F.xxhash64(named(text)).alias("tx"))
     rows = rows.select("row", F.col("id").isNull().alias("none"), id0(F.col("id")), "tx")
     # one exchange of the texts serves both steps

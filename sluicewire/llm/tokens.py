@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import holds
+
 #: Chunks and pieces remembered by one worker; beyond, new ones are computed each time.
 REMEMBERED = 400_000
 #: Chunks longer than this always go to ``tokenizers``.
@@ -103,10 +105,15 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str | None = None) -> WordTokenizer:
-    """One tokenizer a worker; the default file is looked up on the machine that runs it."""
+def _tokenizer(path: str | None) -> WordTokenizer:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     return WordTokenizer(path)
+
+
+def word_tokenizer(path: str | None = None) -> WordTokenizer:
+    """One tokenizer a worker, until other work is done there; the default file is looked up on the machine that runs it."""
+    holds("tokens", _tokenizer.cache_clear)
+    return _tokenizer(path)
