@@ -61,7 +61,7 @@ def _range_of(v: Column, splits: Column) -> Column:
 
 
 def _percentiles(df: DataFrame, keys: list[str], funcs: dict[str, ast.Func]) -> DataFrame:
-    """``keys`` and the exact percentiles ``funcs`` (by the name of their column) of the column ``x``.
+    """``keys``, the exact percentiles ``funcs`` (by the name of their column) of the column ``x``, and ``n``, the number of rows.
 
     Distinct values are counted. Those of a small input are sorted, with a running sum. A larger one's
     groups are cut into ranges by their approximate quantiles. The ranges' counts tell which of them a percentile's index falls in, and only the values of these
@@ -72,7 +72,7 @@ def _percentiles(df: DataFrame, keys: list[str], funcs: dict[str, ast.Func]) ->
     index = {name: F.least(F.floor(F.lit(f.p / 100.0) * F.col("n")), F.col("n") - 1) for name, f in funcs.items()}
     if estimated_bytes(df) <= SORTED_BYTES:
         running = counts.select("*", F.sum("c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.sum("c").over(group).alias("n"))
-        return running.groupBy(*keys).agg(*[F.min(F.when(F.col("so_far") > i, F.col("x"))).alias(name) for name, i in index.items()])
+        return running.groupBy(*keys).agg(*[F.min(F.when(F.col("so_far") > i, F.col("x"))).alias(name) for name, i in index.items()], F.max("n").alias("n"))
     splits = counts.groupBy(*keys).agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("splits"))
     ranged = _joined(counts, splits, keys).withColumn("r", _range_of(F.col("x"), F.col("splits"))).drop("splits")
     sums = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("rc"))
@@ -82,7 +82,7 @@ def _percentiles(df: DataFrame, keys: list[str], funcs: dict[str, ast.Func]) ->
     inside = _joined(ranged, placed.where(hit), [*keys, "r"])
     so_far = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     here = inside.select("*", so_far.alias("so_far"))
-    return here.groupBy(*keys).agg(*[F.min(F.when((F.col("before") <= i) & (F.col("so_far") > i), F.col("x"))).alias(name) for name, i in index.items()])
+    return here.groupBy(*keys).agg(*[F.min(F.when((F.col("before") <= i) & (F.col("so_far") > i), F.col("x"))).alias(name) for name, i in index.items()], F.max("n").alias("n"))
 
 
 def aggregate(df: DataFrame, stage: ast.Aggregate, time: str | None = None) -> DataFrame:
@@ -107,13 +107,20 @@ def aggregate(df: DataFrame, stage: ast.Aggregate, time: str | None = None) -> D
     if not group:
         out = out.where("rows > 0")
     shared = [*keys, *(["w"] if window is not None else [])]
-    for field in dict.fromkeys(f.field for f in late.values()):
-        if window is not None and stage.window.kind == "session":
+    fields = list(dict.fromkeys(f.field for f in late.values()))
+    session = window is not None and stage.window.kind == "session"
+    if len(fields) == 1 and not session and all(m in late or f.name == "count" for m, f in metrics.items()):
+        # the counts of values have all that is asked
+        part = _percentiles(df.select(*group, resolve(fields[0]).measure().alias("x")), shared, late)
+        out, fields = part.select(*shared, *late, *[F.col("n").alias(m) for m in metrics if m not in late]), []
+        out = out if group else out.where(F.coalesce(*[F.col(m) for m in late]).isNotNull())
+    for field in fields:
+        if session:
             # a session is only known once events are grouped: take its bounds, then the events inside
             values = _session_values(df.select(*by, F.col(quoted(time)).alias("at"), resolve(field).measure().alias("x")), out, list(keys))
         else:
             values = df.select(*group, resolve(field).measure().alias("x"))
-        part = _percentiles(values, shared, {m: f for m, f in late.items() if f.field == field})
+        part = _percentiles(values, shared, {m: f for m, f in late.items() if f.field == field}).drop("n")
         out = _joined(out, part, shared, "left")
     edges = bounds(F.col("w"), stage.window) if window is not None else []
     return out.select(*[F.col(k).alias(name) for k, name in keys.items()], *edges, *[F.col(m).alias(f.column) for m, f in metrics.items()])
@@ -129,6 +136,10 @@ def _session_values(events: DataFrame, sessions: DataFrame, keys: list[str]) ->
     return both.select(*keys, "x", F.col("w").isNull().alias("event"), last.alias("inside")).where("event").select(*keys, "x", F.col("inside").alias("w"))
 
 
+#: Names of columns that only ``running`` sees.
+FIRST = "\0first"
+
+
 def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
     """``df`` with the aggregates of its group up to each row, in time order (then ``seq``, if there is one).
 
@@ -141,11 +152,18 @@ def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
     resolve = Resolver(df)
     order = [nanos(df, time), *([F.col("seq")] if "seq" in df.columns else [])]
     keys = [resolve(k).value() for k in stage.by]
+    distinct = [f for f in dict.fromkeys(stage.funcs) if f.name == "distinct"]
+    # a value counts where it first appears in its group, so that no row holds a set
+    firsts = {f: f"{FIRST}{i}" for i, f in enumerate(distinct)}
+    columns = df.columns
+    if distinct:
+        values = {f: resolve(f.field).value() for f in distinct}
+        df = df.select("*", *[((F.row_number().over(Window.partitionBy(*keys, v).orderBy(*order)) == 1) & v.isNotNull()).cast("long").alias(firsts[f]) for f, v in values.items()])
     over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for f in dict.fromkeys(stage.funcs):
         if f.name == "distinct":
-            col = F.size(F.collect_set(resolve(f.field).value()).over(over)).cast("long")
+            col = F.sum(firsts[f]).over(over)
         elif f.name == "percentile":
             n = F.count(F.lit(1)).over(over)
             col = F.get(F.sort_array(F.collect_list(resolve(f.field).measure()).over(over)), F.least(F.floor(F.lit(f.p / 100.0) * n).cast("int"), (n - 1).cast("int")))
@@ -153,4 +171,4 @@ def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
             col = _metric(f, resolve, False).over(over)
         out.append(col.alias(f.column))
     new = {f.column.lower() for f in stage.funcs}
-    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in new], *out)
+    return df.select(*[F.col(quoted(c)) for c in columns if c.lower() not in new], *out)
