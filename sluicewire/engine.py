@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators.correlation import log_network
 from .plans import query
-from .sources.pcap import read_pcap
-from .sources.text import read_logs, stream_logs
+from .sources.pcap import read_pcap, stream_pcap
+from .sources.text import read_logs, stream_logs, stream_udp, tail_logs
 
 
 def union_events(*inputs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def union_events(*inputs: DataFrame) -> DataFrame:
 
 @dataclass
 class Monitor:
-    """Inputs are added, then queried together; ``streaming`` chooses how log inputs are read."""
+    """Inputs are added, then queried together; ``streaming``: they are followed, else read once."""
 
     spark: SparkSession
     streaming: bool = False
@@ -40,12 +40,21 @@ class Monitor:
         self.inputs.append(events)
         return self
 
-    def add_log_input(self, path: str, fmt: str | None = None, where: str | None = None, **options) -> Monitor:
-        read = stream_logs if self.streaming else read_logs
+    def add_log_input(self, path: str, fmt: str | None = None, where: str | None = None, follow: bool = True, **options) -> Monitor:
+        """Log files; a stream takes lines as they are appended or, without ``follow``, files as they appear (from any store that Spark reads)."""
+        read = read_logs if not self.streaming else tail_logs if follow else stream_logs
         return self.add(read(self.spark, path, fmt, where, **options))
 
     def add_network_input(self, path: str, where: str | None = None) -> Monitor:
-        return self.add(read_pcap(self.spark, path, where))
+        """Capture files; a stream takes packets as they are appended."""
+        return self.add((stream_pcap if self.streaming else read_pcap)(self.spark, path, where))
+
+    def add_udp_input(self, address: str, fmt: str = "syslog", where: str | None = None, pattern: str | None = None) -> Monitor:
+        """Datagrams to ``host:port``; only streams have them."""
+        if not self.streaming:
+            raise ValueError("datagrams come only to a streaming monitor")
+        host, _, port = address.rpartition(":")
+        return self.add(stream_udp(self.spark, int(port), host or "0.0.0.0", fmt, where, pattern))
 
     def enable_correlation(self, within_ms: int | None = 100) -> Monitor:
         """The built-in correlator's window; None turns it off."""

@@ -281,7 +281,7 @@ def monitor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def handler_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A streaming monitor's handler, called with each batch of a query's results."""
     out = scratch(spark)
-    m = Monitor(spark, streaming=True).add_log_input(json_logs(spark, sf_dir), "json", max_files=2)
+    m = Monitor(spark, streaming=True).add_log_input(json_logs(spark, sf_dir), "json", follow=False, max_files=2)
     m.on_event(lambda batch, i: batch.select(_cast("event_id", "long"), _cast("level", "string")).write.mode("append").parquet(out), "value > 50 | show event_id, level", once=True).awaitTermination()
     return spark.read.parquet(out)
 

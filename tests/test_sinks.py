@@ -105,3 +105,21 @@ def test_config_and_cli(tmp_path, capsys):
 def test_config_errors(bad):
     with pytest.raises(config.ConfigError):
         config.from_mapping(bad)
+
+
+def test_monitor_follows_logs_captures_and_datagrams(spark, tmp_path):
+    from sluicewire.engine import Monitor
+    from sluicewire.sources.packets import write_pcap
+
+    (tmp_path / "a.jsonl").write_text('{"level":"ERROR","ts":"2024-01-01T00:00:00Z"}\n{"level":')
+    (tmp_path / "a.pcap").write_bytes(write_pcap([(1_704_067_200_050_000_000, b"\0" * 14)]))
+    m = Monitor(spark, streaming=True).add_log_input(str(tmp_path / "a.jsonl")).add_network_input(str(tmp_path / "a.pcap"))
+    got = []
+    m.on_event(lambda d, i: got.extend(r["type"] for r in d.collect()), once=True, checkpoint=str(tmp_path / "c")).awaitTermination()
+    assert sorted(got) == ["log", "network"]
+    raw = {"inputs": {"logs": [{"type": "syslog", "listen": "127.0.0.1:0"}]}}
+    assert config.from_mapping(raw).monitor(spark, streaming=True).events().isStreaming
+    with pytest.raises(ValueError, match="streaming"):
+        config.from_mapping(raw).monitor(spark)
+    with pytest.raises(config.ConfigError):
+        config.from_mapping({"inputs": [{"type": "udp"}]})
