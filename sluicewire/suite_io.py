@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .engine import Monitor
 from .functions.places import shared_folder
 from .functions.times import micros
 from .lang import QueryParseError, parse
+from .operators.aggregates import estimated_bytes
 from .operators.flows import flows
 from .plans import query, to_json_lines, to_payload
 from .sinks.files import write_json_lines, write_table
@@ -317,6 +319,18 @@ def drained(spark: SparkSession, stream: DataFrame, state: str | None = None) ->
     return spark.read.parquet(f"{state}/rows").drop("batch")
 
 
+@contextmanager
+def state_sized(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """A stream's state has as many parts as the session has shuffle partitions when it first starts: no more than its input is worth."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 + (estimated_bytes(table(spark, sf_dir, "events")) >> 24))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of two files, in the order of their times."""
     out, events = scratch(spark), table(spark, sf_dir, "events")
@@ -329,7 +343,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _handled(spark: SparkSession, sf_dir: str, text: str, last: bool = False) -> DataFrame:
     """The rows that the query's batches give (or, of a result given anew each time, the last)."""
     state = scratch(spark)
-    start(event_stream(spark, sf_dir), text, lambda batch, i: batch.write.mode("overwrite").parquet(f"{state}/{'rows' if last else f'rows/batch={i}'}"), checkpoint=f"{state}/offsets", once=True).awaitTermination()
+    with state_sized(spark, sf_dir):
+        start(event_stream(spark, sf_dir), text, lambda batch, i: batch.write.mode("overwrite").parquet(f"{state}/{'rows' if last else f'rows/batch={i}'}"), checkpoint=f"{state}/offsets", once=True).awaitTermination()
     got = spark.read.parquet(f"{state}/rows")
     return got if last else got.drop("batch")
 
@@ -364,7 +379,8 @@ def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_correlate_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A streaming correlation's aggregate, merged over batches in durable state."""
     merged = MergedAggregate(parse("aggregate count(), max(time_diff_ms), avg(time_diff_ms) by left_event.user_id").stages[0])
-    start(event_stream(spark, sf_dir), "correlate event_type == error with event_type in (click, view) within 8s", merged, checkpoint=scratch(spark), once=True).awaitTermination()
+    with state_sized(spark, sf_dir):
+        start(event_stream(spark, sf_dir), "correlate event_type == error with event_type in (click, view) within 8s", merged, checkpoint=scratch(spark), once=True).awaitTermination()
     return rounded("avg_time_diff_ms")(merged.results(spark))
 
 
