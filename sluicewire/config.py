@@ -35,7 +35,7 @@ def byte_size(text: str | int) -> int:
 
 @dataclass
 class Input:
-    kind: str  # file, pcap, udp (whose path is host:port)
+    kind: str  # file, pcap, udp (whose path is host:port), live (an interface)
     path: str
     name: str | None = None
     format: str | None = None
@@ -71,6 +71,8 @@ class Config:
         for i in self.inputs:
             if i.kind == "file":
                 m.add_log_input(i.path, i.format, i.filter, name=i.name, pattern=i.pattern)
+            elif i.kind == "live":
+                m.add_live_input(i.path, i.filter)
             elif i.kind == "udp":
                 m.add_udp_input(i.path, i.format or "syslog", i.filter, i.pattern)
             else:
@@ -97,9 +99,11 @@ def from_mapping(raw: dict | None) -> Config:
         for x in entries:
             kind = x.get("type") or ("pcap" if group == "network" else "file")
             kind = "udp" if kind == "syslog" else kind
-            path = x.get("listen") if kind == "udp" else x.get("path") or x.get("interface")
-            if kind not in ("file", "pcap", "udp") or not path:
-                raise ConfigError(f"input {x.get('name') or x}: needs type file or pcap and a path, or type udp and an address to listen on")
+            if group == "network" and x.get("interface") and not x.get("path"):
+                kind = "live"
+            path = x.get("listen") if kind == "udp" else x.get("interface") if kind == "live" else x.get("path")
+            if kind not in ("file", "pcap", "udp", "live") or not path:
+                raise ConfigError(f"input {x.get('name') or x}: needs type file or pcap and a path, type udp and an address to listen on, or a network interface")
             out.inputs.append(Input(kind, str(path), x.get("name"), x.get("format"), x.get("filter"), x.get("pattern")))
     for x in _entries(raw.get("outputs"), "outputs"):
         kind = {"metrics": "prometheus", "json": "stdout"}.get(x.get("type"), x.get("type"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators.correlation import log_network
 from .plans import query
-from .sources.pcap import read_pcap, stream_pcap
+from .sources.pcap import read_pcap, stream_live, stream_pcap
 from .sources.text import read_logs, stream_logs, stream_udp, tail_logs
 
 
@@ -49,6 +49,12 @@ class Monitor:
         """Capture files; a stream takes packets as they are appended."""
         return self.add((stream_pcap if self.streaming else read_pcap)(self.spark, path, where))
 
+    def add_live_input(self, interface: str | None = None, where: str | None = None) -> Monitor:
+        """Packets of a network interface of the driver; only streams have them."""
+        if not self.streaming:
+            raise ValueError("live packets come only to a streaming monitor")
+        return self.add(stream_live(self.spark, interface, where))
+
     def add_udp_input(self, address: str, fmt: str = "syslog", where: str | None = None, pattern: str | None = None) -> Monitor:
         """Datagrams to ``host:port``; only streams have them."""
         if not self.streaming:

@@ -136,5 +136,17 @@ def stream_pcap(spark: SparkSession, path: str, where: str | None = None, interf
 
     register(spark)
     reader = spark.readStream.format("pcap")
-    flat = (reader.option("interface", interface) if interface else reader).load(path)
+    return _from_flat((reader.option("interface", interface) if interface else reader).load(path), where)
+
+
+def stream_live(spark: SparkSession, interface: str | None = None, where: str | None = None) -> DataFrame:
+    """The same as a stream of the packets that the driver's network interface (or all of them) gets and sends."""
+    from .received import register
+
+    register(spark)
+    reader = spark.readStream.format("live")
+    return _from_flat((reader.option("interface", interface) if interface else reader).load(), where)
+
+
+def _from_flat(flat: DataFrame, where: str | None) -> DataFrame:
     return network_events(flat.select("timestamp_ns", "path", F.struct(*[n for n, _ in FIELDS]).alias("data")), capture_filter(where) if where else None)

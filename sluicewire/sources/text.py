@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lang import parse_filter
 from ..operators.predicates import keep
-from . import tail, udp
+from . import received, tail
 from .formats import detect_format, event_time, parse_lines
 
 
@@ -46,7 +46,7 @@ def tail_logs(spark: SparkSession, path: str, fmt: str | None = None, where: str
 
 def stream_udp(spark: SparkSession, port: int, host: str = "0.0.0.0", fmt: str = "syslog", where: str | None = None, pattern: str | None = None) -> DataFrame:
     """Datagrams that the driver receives as a stream of lines."""
-    udp.register(spark)
+    received.register(spark)
     lines = spark.readStream.format("udp").option("host", host).option("port", port).load()
     return _envelope(lines, fmt, f"{host}:{port}", pattern, None, where)
 

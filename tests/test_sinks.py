@@ -121,5 +121,9 @@ def test_monitor_follows_logs_captures_and_datagrams(spark, tmp_path):
     assert config.from_mapping(raw).monitor(spark, streaming=True).events().isStreaming
     with pytest.raises(ValueError, match="streaming"):
         config.from_mapping(raw).monitor(spark)
+    live = {"inputs": {"network": [{"interface": "lo", "filter": "udp"}]}}
+    assert config.from_mapping(live).monitor(spark, streaming=True).events().isStreaming
+    with pytest.raises(ValueError, match="streaming"):
+        config.from_mapping(live).monitor(spark)
     with pytest.raises(config.ConfigError):
         config.from_mapping({"inputs": [{"type": "udp"}]})

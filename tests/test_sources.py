@@ -233,22 +233,22 @@ def test_udp_lines(spark):
     import time
 
     from sluicewire.sources.text import stream_udp
-    from sluicewire.sources.udp import UdpReader
+    from sluicewire.sources.received import UdpReader
 
     r = UdpReader({"host": "127.0.0.1", "port": "0"})
-    assert r.initialOffset() == {"line": 0}
+    assert r.initialOffset() == {"row": 0}
     out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     for text in (b"<34>one", b"<35>two\nthree"):
-        out.sendto(text, ("127.0.0.1", r.listen()))
+        out.sendto(text, r.listen().getsockname())
     for _ in range(100):
-        got, end = r.read({"line": 0})
-        if end["line"] == 3:
+        got, end = r.read({"row": 0})
+        if end["row"] == 3:
             break
         time.sleep(0.05)
     assert [x[0] for x in got] == ["<34>one", "<35>two", "three"]
-    assert [x[0] for x in r.readBetweenOffsets({"line": 1}, {"line": 2})] == ["<35>two"]
-    r.commit({"line": 2})
-    assert len(r.lines) == 1 and r.read({"line": 9})[1] == {"line": 3}
+    assert [x[0] for x in r.readBetweenOffsets({"row": 1}, {"row": 2})] == ["<35>two"]
+    r.commit({"row": 2})
+    assert len(r.rows) == 1 and r.read({"row": 9})[1] == {"row": 3}
     stream = stream_udp(spark, 0, "127.0.0.1")
     assert stream.isStreaming and stream.columns == ["type", "ts", "source", "data"]
 
@@ -278,3 +278,30 @@ def test_flows(spark, tmp_path):
     slow = query(flows(read_pcap(spark, str(tmp_path))), "network.latency_ms > 2 AND network.tcp.retransmits >= 2 | show network.tcp.retransmits")
     assert [r[0] for r in slow.collect()] == [2]
     assert flows(read_pcap(spark, str(tmp_path)).where("false")).count() == 0
+
+
+def test_live_packets(spark):
+    import socket
+    import time
+
+    from sluicewire.sources.pcap import stream_live
+    from sluicewire.sources.pcap_format import COLUMNS
+    from sluicewire.sources.received import LiveReader
+
+    r = LiveReader({"interface": "lo"})
+    try:
+        r.initialOffset()
+    except OSError as e:
+        pytest.skip(f"no raw socket here: {e}")
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    mine = b"a payload of this test"
+    found = []
+    for _ in range(100):
+        out.sendto(mine, ("127.0.0.1", 39_999))
+        time.sleep(0.02)
+        rows, end = r.read({"row": 0})
+        found = [d for d in (dict(zip([n for n, _ in COLUMNS], x, strict=True)) for x in rows) if d["payload"] == mine]
+        if found:
+            break
+    assert (found[0]["protocol"], found[0]["udp_dst_port"], found[0]["ip_dst"], found[0]["interface"]) == ("udp", 39_999, "127.0.0.1", "lo")
+    assert stream_live(spark, "lo", "udp port 39999").columns == ["type", "timestamp_ns", "ts", "source", "data"]
