@@ -1,6 +1,6 @@
 """Capture files as network events.
 
-Spark lists the files, and executors read them packet by packet, one task for one or more files. A filter's
+Spark lists the files, and executors read them in blocks of packets, one task for one or more files. A filter's
 conjuncts on ports, addresses and protocol are pushed into the decoder, so packets that fail them are never made
 into rows; the whole filter is applied again after.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import NETWORK_ALIASES
 from ..lang import ast, parse_filter
 from ..operators.predicates import keep
-from .packets import FIELDS, read_packets
+from .bulk import decoded
+from .packets import FIELDS
 from .store import opened
 
 _ARROW = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -25,7 +26,6 @@ _DATA = pa.struct([(n, _ARROW[t]) for n, t in FIELDS])
 _SCHEMA = pa.schema([("timestamp_ns", pa.int64()), ("path", pa.string()), ("data", _DATA)])
 _DDL = "timestamp_ns long, path string, data struct<" + ", ".join(f"{n}:{t}" for n, t in FIELDS) + ">"
 _PUSHABLE = ("dst_port", "src_port", "src_ip", "dst_ip", "protocol", "ip_src", "ip_dst", "tcp_dst_port", "tcp_src_port", "udp_dst_port", "udp_src_port", "ip_protocol")
-ROWS = 20_000
 
 
 def pushed(where: ast.Expr | None) -> list[tuple[tuple[str, ...], object]]:
@@ -103,22 +103,17 @@ def read_pcap(spark: SparkSession, path: str, where: str | None = None, interfac
     systems don't reach.
     """
     expr = capture_filter(where) if where else None
-    conjuncts = pushed(expr)
+
+    tests = [(names, (value,)) for names, value in pushed(expr)]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
         for batch in batches:
             contents = batch.column(1) if whole else [None] * batch.num_rows
             for name, content in zip(batch.column(0).to_pylist(), contents, strict=True):
                 with io.BytesIO(content.as_py()) if whole else opened(name) as file:
-                    for ns, fields in read_packets(file, interface):
-                        if all(any(fields.get(f) == v for f in names) for names, v in conjuncts):
-                            rows.append({"timestamp_ns": ns, "path": name, "data": fields})
-                            if len(rows) >= ROWS:
-                                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                    for times, columns in decoded(file, interface, tests):
+                        data = pa.StructArray.from_arrays(list(columns.values()), fields=list(_DATA))
+                        yield pa.RecordBatch.from_arrays([times, pa.array([name] * len(times), pa.string()), data], schema=_SCHEMA)
 
     raw = spark.read.format("binaryFile").load(path).select("path", *(["content"] if whole else [])).mapInArrow(decode, _DDL)
     return network_events(raw, expr)

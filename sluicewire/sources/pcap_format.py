@@ -1,8 +1,8 @@
 """``format("pcap")``: captures read once or as they grow, and written.
 
 ``register(spark)`` first. Files are those that Arrow's file systems reach from every executor; for
-stores that only Spark's readers reach, use ``read_pcap(..., whole=True)``. A file is read packet by
-packet and never whole.
+stores that only Spark's readers reach, use ``read_pcap(..., whole=True)``. A file is read in
+blocks and never whole.
 
 - ``spark.read``: columns are flat (``tcp_dst_port``, ``ip_src``, …), so Spark pushes equality on them
   into the decoder.
@@ -23,8 +23,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .packets import FIELDS, HEADER, Capture, file_header, packet_record, raw_packets, read_packets
-from .pcap import _ARROW, ROWS
+from .bulk import Tests, decoded
+from .packets import FIELDS, HEADER, Capture, file_header, packet_record, raw_packets
+from .pcap import _ARROW
 from .store import listed, opened, resolve
 
 COLUMNS = (("type", "string"), ("timestamp_ns", "long"), ("path", "string"), *FIELDS)
@@ -37,31 +38,24 @@ def _path(options: dict) -> str:
     return options["path"]
 
 
-def _rows(found: Iterator[tuple[int, dict]], path: str, tests: list[tuple[str, tuple]]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
-    for ns, fields in found:
-        row = {"type": "network", "timestamp_ns": ns, "path": path} | fields
-        if all(row.get(name) in values for name, values in tests):
-            rows.append(row)
-        if len(rows) >= ROWS:
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+def _batches(found: Iterator[tuple[pa.Array, dict[str, pa.Array]]], path: str) -> Iterator[pa.RecordBatch]:
+    for times, columns in found:
+        same = [pa.array([x] * len(times), pa.string()) for x in ("network", path)]
+        yield pa.RecordBatch.from_arrays([same[0], times, same[1], *columns.values()], schema=_SCHEMA)
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.interface = _path(options), options.get("interface")
-        self.tests: list[tuple[str, tuple]] = []
+        self.tests: Tests = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Takes equality and membership on one column as a hint; Spark applies every filter again."""
         for f in filters:
             if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], (f.value,)))
+                self.tests.append((f.attribute, (f.value,)))
             elif isinstance(f, In) and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], tuple(f.value)))
+                self.tests.append((f.attribute, tuple(f.value)))
             yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -69,7 +63,7 @@ class PcapReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with opened(partition.value) as f:
-            yield from _rows(read_packets(f, self.interface), partition.value, self.tests)
+            yield from _batches(decoded(f, self.interface, self.tests), partition.value)
 
 
 @dataclass
@@ -127,7 +121,7 @@ class PcapStreamReader(DataSourceStreamReader):
         with opened(partition.path) as f:
             capture = Capture.of(f.read(HEADER))
         with opened(partition.path, partition.start) as f:
-            yield from _rows(read_packets(f, self.interface, capture, partition.start, partition.stop), partition.path, [])
+            yield from _batches(decoded(f, self.interface, [], capture, partition.start, partition.stop), partition.path)
 
 
 @dataclass

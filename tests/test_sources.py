@@ -305,3 +305,38 @@ def test_live_packets(spark):
             break
     assert (found[0]["protocol"], found[0]["udp_dst_port"], found[0]["ip_dst"], found[0]["interface"]) == ("udp", 39_999, "127.0.0.1", "lo")
     assert stream_live(spark, "lo", "udp port 39999").columns == ["type", "timestamp_ns", "ts", "source", "data"]
+
+
+@pytest.mark.parametrize("size", [64, 1 << 22])
+def test_bulk_decoding_equals_one_packet_at_a_time(monkeypatch, size):
+    import io
+    import random
+
+    from sluicewire.sources import bulk
+
+    rng = random.Random(size)
+    frames = []
+    for i in range(400):
+        f = bytearray(frame(rng.choice([6, 17, 1, 47]), "10.0.0.%d" % rng.randrange(256), "1.2.3.4", rng.randbytes(rng.randrange(80)), rng.randrange(65536), rng.randrange(65536)))
+        if rng.random() < 0.3:
+            f[12:12] = b"\x81\x00\x00\x05"
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            f[rng.randrange(len(f))] = rng.randrange(256)
+        frames.append((rng.randrange(10**18), bytes(f[: rng.choice([len(f), rng.randrange(len(f) + 1)])])))
+    data = write_pcap(frames)
+    monkeypatch.setattr(bulk, "BLOCK", size)
+    for swap in (False, True):
+        if swap:  # the other byte order, in microseconds
+            data = struct.pack(">IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack(">IIII", ns // 10**9, ns % 10**9 // 1000, len(f), len(f) + 7) + f for ns, f in frames)
+        want = [(ns, {"interface": "x"} | f) for ns, f in packets(data, "x")]
+        got = []
+        for times, columns in bulk.decoded(io.BytesIO(data), "x", []):
+            assert [str(c.type) for c in columns.values()] == [{"long": "int64", "boolean": "bool"}.get(t, t) for _, t in bulk.FIELDS]
+            got += [(t, {k: v for k, v in zip(columns, row, strict=True) if v is not None}) for t, *row in zip(times.to_pylist(), *(c.to_pylist() for c in columns.values()), strict=True)]
+        assert got == [(ns, {k: v for k, v in f.items() if v is not None}) for ns, f in want]
+        some = [(("tcp_dst_port", "udp_dst_port"), (next(f["tcp_dst_port"] for _, f in want if f.get("protocol") == "tcp"),)), (("protocol",), ("tcp", "udp"))]
+        kept = sum(len(t) for t, _ in bulk.decoded(io.BytesIO(data), "x", some))
+        assert kept == sum(any(f.get(n) in v for n in some[0][0] for v in [some[0][1]]) and f.get("protocol") in ("tcp", "udp") for _, f in want) > 0
+    assert list(bulk.decoded(io.BytesIO(write_pcap([])), None, [])) == []
+    cut = write_pcap(frames[:3])[:-5]
+    assert sum(len(t) for t, _ in bulk.decoded(io.BytesIO(cut), None, [])) == 2
