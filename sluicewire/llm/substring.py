@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ GAP_BITS = 20
 REMEMBERED = 500_000
 _M64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_words: dict[bytes, int] = {}
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,18 +68,21 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+class _Words(dict):
+    """Hashes of words; those not seen before are computed, and remembered while there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = h
+        return h
+
 
-    out = []
-    for w in words:
-        h = _words.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(_words) < REMEMBERED:
-                _words[w] = h
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+_words = _Words()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def _forget() -> None:
@@ -306,12 +309,15 @@ def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     # bounded by the document's own number of edges
     sources = sources.groupBy("doc_id").agg(F.collect_set("branching").alias("branching"), F.collect_list("path").alias("paths"))
     # an outer join, like that of the result, so that both read one exchange of the texts
-    at_sources = docs.join(sources, "doc_id", "left").select("doc_id", "text", "branching", "paths").mapInArrow(_at_sources(window, k), _FOUND_DDL).repartition("key", "other")
-    windows = at_sources.where("digest is null").select("key", "other", "doc_id")
-    least = windows.groupBy("key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = windows.join(least, ["key", "other"]).where("doc_id > first").select("doc_id", F.struct("key", F.lit(0).alias("edges"), "other", F.lit(0).cast("long").alias("digest")).alias("f"))
+    at_sources = docs.join(sources, "doc_id", "left").select("doc_id", "text", "branching", "paths").mapInArrow(_at_sources(window, k), _FOUND_DDL)
+    # all that follows takes from this one exchange: hence one filter for all, and an array, out of which nobody's optimizer takes less
+    at_sources = at_sources.where("key IS NOT NULL AND other IS NOT NULL").select("key", "other", F.array("doc_id", "digest").alias("of")).repartition("key", "other")
+    doc_id, digest = F.get("of", F.lit(0)), F.get("of", F.lit(1))
+    grouped = at_sources.groupBy("key", "other").agg(F.min(doc_id).alias("first"), F.max(doc_id).alias("last"), F.min(digest).alias("digest"))
+    least = grouped.where("first < last AND digest IS NULL").select("key", "other", "first")
+    again = at_sources.join(least, ["key", "other"]).select("*", doc_id.alias("doc_id")).where("doc_id > first").select("doc_id", F.struct("key", F.lit(0).alias("edges"), "other", F.lit(0).cast("long").alias("digest")).alias("f"))
     # rows that share a key may both have a path
-    digests = at_sources.where("digest is not null").groupBy("key").agg(F.min(F.struct("other", "digest")).alias("d"))
+    digests = grouped.where("digest IS NOT NULL").groupBy("key").agg(F.min(F.struct("other", "digest")).alias("d"))
     known = paths.join(digests, F.col("first") == F.col("key")).select("first", "edges", "source", "d")
     later = occur.select(F.col("edge").alias("first"), "doc_id").join(known, "first").where("doc_id > source").select("doc_id", F.struct(F.col("first").alias("key"), "edges", "d.other", "d.digest").alias("f"))
     # bounded by the document's own number of edges and windows
