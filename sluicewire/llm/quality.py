@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,6 @@ L2, STEPS, RATE = 1e-4, 250, 0.08
 KEEP_GRADE, KEEP_PROBABILITY = 2, 0.6
 REMEMBERED = 200_000
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—"
-_tokens: dict[str, tuple[int, int]] = {}
 
 
 def _slot(name: str) -> int:
@@ -51,15 +51,18 @@ def _shape(token: str) -> str:
     return "".join(s for s, _ in groupby(map(_sign, token)))
 
 
-def _token(token: str) -> tuple[int, int]:
-    """The slots of a token's word (-1: it has none) and of its shape."""
-    got = _tokens.get(token)
-    if got is None:
+class _Tokens(dict):
+    """The slots of tokens' words (-1: none) and shapes; new ones are computed, and remembered while there is room."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
         word = token.strip(_STRIP).lower()
         got = (_slot("w:" + word) if word else -1, _slot("s:" + _shape(token)))
-        if len(_tokens) < REMEMBERED:
-            _tokens[token] = got
-    return got
+        if len(self) < REMEMBERED:
+            self[token] = got
+        return got
+
+
+_tokens = _Tokens()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +70,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = (text or "").split()
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
-    known = [_token(t) for t in tokens]
-    n, value = len(tokens), {w: 1.0 for w, _ in known if w >= 0}
-    for shape, k in Counter(s for _, s in known).items():
+    words, shapes = zip(*map(_tokens.__getitem__, tokens), strict=True)
+    n, value = len(tokens), dict.fromkeys(words, 1.0)
+    value.pop(-1, None)
+    for shape, k in Counter(shapes).items():
         value[shape] = 4 * (k / n) ** 0.5
-    value[_slot("repeats")] = 4 * (sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / n) ** 0.5
+    value[_slot("repeats")] = 4 * (sum(map(eq, tokens, tokens[1:])) / n) ** 0.5
     value[_slot(f"distinct:{10 * len(set(tokens)) // n}")] = 1.0
     return np.fromiter(value, np.int64, len(value)), np.fromiter(value.values(), np.float64, len(value))
 

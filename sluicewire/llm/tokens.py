@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,20 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Chunks(dict):
+    """Ids of chunks; those not seen before are encoded, and remembered while there is room."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.encode(chunk)
+        if len(self) < REMEMBERED and len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+        return ids
+
+
 class WordTokenizer:
     """``encode(text)`` gives the ids as bytes, four little-endian ones an id."""
 
@@ -45,7 +60,7 @@ class WordTokenizer:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = _Chunks(self._chunk)
         self.pieces: dict[str, bytes] = {}
         names = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
@@ -85,15 +100,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
             return self._slowly(text)
-        known, out = self.chunks, []
-        for chunk in text.encode().split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(known) < REMEMBERED and len(chunk) <= LONG_CHUNK:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
 
     def sentence_ends(self) -> np.ndarray:
         """Whether each id ends a sentence: punctuation with a stop at the end of a word."""
