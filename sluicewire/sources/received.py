@@ -33,12 +33,17 @@ ETH_P_ALL = 0x0003
 class ReceivedReader(SimpleDataSourceStreamReader):
     """Rows that a thread receives, numbered from zero; an offset is a number of rows."""
 
-    def __init__(self) -> None:
+    def __init__(self, options: dict) -> None:
+        self.options = dict(options)
         self.rows: deque[tuple[int, tuple]] = deque()
         self.received = 0
         self.lock = threading.Lock()
         self.socket: socket.socket | None = None
 
+    def __reduce__(self):
+        """A copy elsewhere has the options alone; rows and socket stay with the driver's reader."""
+        return type(self), (self.options,)
+
     def open(self) -> socket.socket:
         raise NotImplementedError
 
@@ -85,7 +90,7 @@ class ReceivedReader(SimpleDataSourceStreamReader):
 
 class UdpReader(ReceivedReader):
     def __init__(self, options: dict):
-        super().__init__()
+        super().__init__(options)
         self.host, self.port = options.get("host", "0.0.0.0"), int(options.get("port", 0))
 
     def open(self) -> socket.socket:
@@ -101,7 +106,7 @@ class UdpReader(ReceivedReader):
 
 class LiveReader(ReceivedReader):
     def __init__(self, options: dict):
-        super().__init__()
+        super().__init__(options)
         self.interface = options.get("interface")
 
     def open(self) -> socket.socket:

@@ -6,30 +6,37 @@ the source or sink, and has SQL over the same tables.
 
 from __future__ import annotations
 
+import socket
 import struct
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import from_mapping
+from .cli import emit
+from .config import Output, from_mapping
 from .engine import Monitor
-from .functions.places import shared_folder
+from .functions.places import names, shared_folder
 from .functions.times import micros
 from .lang import QueryParseError, parse
 from .operators.aggregates import estimated_bytes
 from .operators.flows import flows
 from .plans import query, to_json_lines, to_payload
-from .sinks.files import write_json_lines, write_table
+from .sinks.files import RotatingFile, write_json_lines, write_table
 from .sinks.prometheus import PrometheusText
+from .sinks.webhook import webhook
 from .sources.packets import VLAN
 from .sources.payloads import dns_message, http_message
 from .sources.pcap import read_pcap, stream_pcap
 from .sources.pcap_format import register as register_pcap
-from .sources.text import read_logs, tail_logs
+from .sources.store import resolve
+from .sources.text import read_logs, stream_udp, tail_logs
 from .streaming.queries import MergedAggregate, start
 from .suite import HOUR_US, _band, _flat, _typed_events, register, rounded, table
 
@@ -469,3 +476,78 @@ def sink_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the console, the webhook and the files are given for each event."""
     return to_json_lines(_written(spark, sf_dir).where(F.get_json_object("data", "$.level") == "error"))
+
+
+@register("sink_rotation", "SELECT '{\"type\":\"log\",\"timestamp_ns\":' || (epoch_us(ts) * 1000) || ',\"data\":{\"event_id\":' || event_id || ',\"level\":\"' || event_type || '\"}}' AS value FROM events")
+def sink_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One machine's file, rotated by size: no line is lost between its parts."""
+    out = scratch(spark)
+    _, at = resolve(out)
+    RotatingFile(f"{at}/events.log", max_bytes=20_000, max_files=10**9).write_batch(_written(spark, sf_dir))
+    return spark.read.text(f"{out}/events.log*")
+
+
+@register(
+    "sink_console",
+    f"SELECT '{{\"type\":\"log\",\"timestamp_ns\":' || (s * 1000 + {HOUR_US}000 * 24) || ',\"data\":{{\"nql_result_type\":\"aggregation\",\"group\":{{\"event_type\":\"' || event_type || '\"}},\"metrics\":{{\"count\":' || count(*) || '}},\"window\":{{\"start_ns\":' || (s * 1000) || ',\"end_ns\":' || (s * 1000 + {HOUR_US}000 * 24) || '}}}}}}' AS value FROM (SELECT event_type, epoch_us(ts) // ({HOUR_US} * 24) * ({HOUR_US} * 24) AS s FROM events) GROUP BY event_type, s",
+)
+def sink_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints of a query's results."""
+    text, lines = "aggregate count() by event_type window 24h", []
+    emit(query(table(spark, sf_dir, "events"), text), parse(text).stages[-1], [Output("stdout")], lines.append)
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+@register("sink_webhook", "SELECT '{\"type\":\"log\",\"timestamp_ns\":' || (epoch_us(ts) * 1000) || ',\"data\":{\"event_id\":' || event_id || ',\"level\":\"error\"}}' AS value FROM events WHERE event_type = 'error'")
+def sink_webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that executors post one by one to an endpoint, here on the driver."""
+    bodies: list[str] = []
+
+    class Endpoint(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self) -> None:
+            bodies.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.send_response(204)
+            self.end_headers()
+
+        def log_message(self, *_) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = spark.sparkContext.getConf().get("spark.driver.host") or "127.0.0.1"
+        webhook(f"http://{host}:{server.server_port}/events")(_written(spark, sf_dir).where(F.get_json_object("data", "$.level") == "error"))
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame([(x,) for x in bodies], "value string")
+
+
+@register("stream_udp", "SELECT event_id, CAST(event_id % 192 AS BIGINT) AS syslog_priority, event_type AS app_name FROM events WHERE event_type = 'purchase'")
+def streamed_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syslog datagrams, sent again until the stream has given as many lines as there are."""
+    i, state = F.col("event_id"), scratch(spark)
+    lines = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.concat(F.lit("<"), i % 192, F.lit(">1 2024-01-01T00:00:00Z h "), "event_type", F.lit(" "), i, F.lit(" - - text")).alias("value"))
+    lines = lines.repartition(1)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+        out.bind(("127.0.0.1", 0))
+        port = out.getsockname()[1]
+    got = stream_udp(spark, port, "127.0.0.1").select(F.try_variant_get("data", "$.procid", "long").alias("event_id"), _field("syslog_priority", "long"), _field("app_name", "string"))
+    running = got.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{state}/rows/batch={n}")).option("checkpointLocation", f"{state}/offsets").start()
+    read = lambda: spark.read.parquet(f"{state}/rows").select("event_id", "syslog_priority", "app_name").distinct()
+    try:
+        wanted, give_up = lines.count(), time.monotonic() + 120
+        while time.monotonic() < give_up:
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+                for n, row in enumerate(lines.toLocalIterator()):
+                    out.sendto(row["value"].encode(), ("127.0.0.1", port))
+                    if n % 200 == 199:  # a receiver's buffer is small
+                        time.sleep(0.005)
+            running.processAllAvailable()
+            if names(spark, f"{state}/rows") and read().count() >= wanted:
+                break
+    finally:
+        running.stop()
+    return read()

@@ -304,7 +304,19 @@ def test_live_packets(spark):
         if found:
             break
     assert (found[0]["protocol"], found[0]["udp_dst_port"], found[0]["ip_dst"], found[0]["interface"]) == ("udp", 39_999, "127.0.0.1", "lo")
-    assert stream_live(spark, "lo", "udp port 39999").columns == ["type", "timestamp_ns", "ts", "source", "data"]
+    stream = stream_live(spark, "lo", "udp dst port 39999")
+    assert stream.columns == ["type", "timestamp_ns", "ts", "source", "data"]
+    seen = []
+    running = stream.writeStream.foreachBatch(lambda d, i: seen.extend(bytes(r["data"]["payload"]) for r in d.collect())).start()
+    try:
+        for _ in range(100):
+            out.sendto(mine, ("127.0.0.1", 39_999))
+            time.sleep(0.1)
+            if seen:
+                break
+    finally:
+        running.stop()
+    assert set(seen) == {mine}
 
 
 @pytest.mark.parametrize("size", [64, 1 << 22])
