@@ -8,6 +8,7 @@ streams it sorts the group's values.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,39 +137,67 @@ def _session_values(events: DataFrame, sessions: DataFrame, keys: list[str]) ->
     return both.select(*keys, "x", F.col("w").isNull().alias("event"), last.alias("inside")).where("event").select(*keys, "x", F.col("inside").alias("w"))
 
 
-#: Names of columns that only ``running`` sees.
-FIRST = "\0first"
+#: Begins the names of columns that only ``running`` sees.
+OWN = "\0"
 
 
 def running(df: DataFrame, stage: ast.Aggregate, time: str) -> DataFrame:
     """``df`` with the aggregates of its group up to each row, in time order (then ``seq``, if there is one).
 
-    A column of ``df`` with the name of an aggregate gives way to it.
+    A column of ``df`` with the name of an aggregate gives way to it. The groups of a large input are
+    cut into ranges of time: a row's aggregate is that of its range so far and of the ranges before,
+    so that no task takes a whole hot group. Percentiles can't be put together like that: they hold
+    the group's values in every row.
     """
     if stage.window is not None:
         raise ValueError("a running aggregate has no window")
     if stage.where is not None:
         df = keep(df, stage.where)
-    resolve = Resolver(df)
-    order = [nanos(df, time), *([F.col("seq")] if "seq" in df.columns else [])]
-    keys = [resolve(k).value() for k in stage.by]
-    distinct = [f for f in dict.fromkeys(stage.funcs) if f.name == "distinct"]
-    # a value counts where it first appears in its group, so that no row holds a set
-    firsts = {f: f"{FIRST}{i}" for i, f in enumerate(distinct)}
-    columns = df.columns
-    if distinct:
-        values = {f: resolve(f.field).value() for f in distinct}
-        df = df.select("*", *[((F.row_number().over(Window.partitionBy(*keys, v).orderBy(*order)) == 1) & v.isNotNull()).cast("long").alias(firsts[f]) for f, v in values.items()])
-    over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = []
-    for f in dict.fromkeys(stage.funcs):
+    resolve, own = Resolver(df), lambda name: F.col(OWN + name)
+    funcs = {f"f{i}": f for i, f in enumerate(dict.fromkeys(stage.funcs))}
+    keys = {f"k{i}": resolve(k).value() for i, k in enumerate(dict.fromkeys(stage.by))}
+    names = [OWN + k for k in keys]
+    # what is measured of each row; the value itself of a distinct count, and later whether it is new
+    measures = {name: F.lit(1).cast("long") if f.name == "count" else resolve(f.field).value() if f.name == "distinct" else resolve(f.field).measure() for name, f in funcs.items()}
+    rows = df.select("*", nanos(df, time).alias(OWN + "at"), *[c.alias(OWN + n) for n, c in (keys | measures).items()])
+    order = [own("at"), *([F.col("seq")] if "seq" in df.columns else [])]
+    for name, f in funcs.items():
         if f.name == "distinct":
-            col = F.sum(firsts[f]).over(over)
-        elif f.name == "percentile":
+            # a value counts where it first appears in its group, so that no row holds a set
+            new = F.row_number().over(Window.partitionBy(*names, OWN + name).orderBy(*order)) == 1
+            rows = rows.withColumn(OWN + name, (new & own(name).isNotNull()).cast("long"))
+    group = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    until = (Window.unboundedPreceding, 0)
+    large = estimated_bytes(df) > SORTED_BYTES
+    here = group
+    if large:
+        splits = rows.agg(F.percentile_approx(own("at"), [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("s")).first()["s"] or []
+        table = F.from_json(F.lit(json.dumps(sorted(set(splits)))), "array<bigint>")
+        rows = rows.withColumn(OWN + "range", _range_of(own("at"), table))
+        here = Window.partitionBy(*names, OWN + "range")
+    merge = {"min": F.min, "max": F.max}
+    # an average is put together from a sum and a count
+    parts = {n: merge.get(f.name, F.sum)(own(n)) for n, f in funcs.items() if f.name != "percentile"}
+    parts |= {n + "n": F.count(F.lit(1)) for n, f in funcs.items() if f.name == "avg"}
+    out = rows.select("*", *[c.over(here.orderBy(*order).rowsBetween(*until)).alias(OWN + "so_far_" + n) for n, c in parts.items()])
+    total = {n: own("so_far_" + n) for n in parts}
+    if large:
+        sums = rows.groupBy(*names, OWN + "range").agg(*[c.alias(OWN + "all_" + n) for n, c in parts.items()])
+        # at most RANGES rows for each group
+        earlier = group.orderBy(OWN + "range").rowsBetween(Window.unboundedPreceding, -1)
+        again = {n: (F.min if funcs.get(n) and funcs[n].name == "min" else F.max if funcs.get(n) and funcs[n].name == "max" else F.sum)(own("all_" + n)) for n in parts}
+        before = sums.select(*names, OWN + "range", *[c.over(earlier).alias(OWN + "before_" + n) for n, c in again.items()])
+        out = _joined(out, before, [*names, OWN + "range"])
+        put = {"min": F.least, "max": F.greatest}
+        total = {n: put[funcs[n].name](c, own("before_" + n)) if n in funcs and funcs[n].name in put else c + F.coalesce(own("before_" + n), F.lit(0)) for n, c in total.items()}
+    results = []
+    for name, f in funcs.items():
+        if f.name == "percentile":
+            over = group.orderBy(*order).rowsBetween(*until)
             n = F.count(F.lit(1)).over(over)
-            col = F.get(F.sort_array(F.collect_list(resolve(f.field).measure()).over(over)), F.least(F.floor(F.lit(f.p / 100.0) * n).cast("int"), (n - 1).cast("int")))
+            col = F.get(F.sort_array(F.collect_list(own(name)).over(over)), F.least(F.floor(F.lit(f.p / 100.0) * n).cast("int"), (n - 1).cast("int")))
         else:
-            col = _metric(f, resolve, False).over(over)
-        out.append(col.alias(f.column))
-    new = {f.column.lower() for f in stage.funcs}
-    return df.select(*[F.col(quoted(c)) for c in columns if c.lower() not in new], *out)
+            col = total[name] / total[name + "n"] if f.name == "avg" else total[name]
+        results.append(col.alias(f.column))
+    new = {f.column.lower() for f in funcs.values()}
+    return out.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in new], *results)

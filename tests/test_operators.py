@@ -211,3 +211,17 @@ def test_columns_may_be_called_like_those_inside(spark):
     assert got.columns == ["w", "window_start", "window_end", "p50_x"] and got.count() == 2
     run = query(df, "aggregate count(), sum(x) by k0", running=True)
     assert run.columns == ["k0", "w", "m0", "ts", "count", "x"] and sorted(r["count"] for r in run.collect()) == [1, 1, 2]
+
+
+def test_running_aggregates_of_ranges_equal_those_of_whole_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(400)), rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, *map(float, range(9))])) for i in range(700)]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp, k string, v double")
+    for by in ("", " by k"):
+        text = f"aggregate count(), sum(v), avg(v), min(v), max(v), distinct(v), percentile(v, 50){by}"
+        want = sorted(map(repr, query(df, text, running=True).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(aggregates, "SORTED_BYTES", 0)
+            m.setattr(aggregates, "RANGES", 16)
+            assert sorted(map(repr, query(df, text, running=True).collect())) == want
+    assert len(want) == 700
