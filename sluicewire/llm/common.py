@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +69,15 @@ def holds(owner: str, forget: Callable[[], None] | None = None) -> None:
     """
     if forget is not None:
         _held[owner] = forget
-    for other in [x for x in _held if x != owner]:
+    others = [x for x in _held if x != owner]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # what was freed stays with the C library's allocator otherwise
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def written(df: DataFrame) -> str:

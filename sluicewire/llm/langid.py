@@ -14,7 +14,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,21 +182,21 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pa.Array) -> pa.Array:
         holds("langid")
         f = shared.value
         pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         if f.languages:
-            for part in _parts(((i, t) for i, t in enumerate(texts) if t), max(1, CELLS // len(f.languages))):
+            for part in _parts(((i, t.as_py()) for i, t in enumerate(texts) if t.is_valid), max(1, CELLS // len(f.languages))):
                 part = [(i, c) for i, c in part if len(c) > 1]  # the space alone: no letter
                 if part:
                     share = f.shares([c for _, c in part])
                     at = [i for i, _ in part]
                     pred[at] = np.array(f.languages, dtype=object)[share.argmax(axis=1)]
                     score[at] = share.max(axis=1) / np.maximum(share.sum(axis=1), 1e-12)
-        return pd.DataFrame({"lang_pred": pred, "score": np.clip(score, 0, 1)})
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], names=["lang_pred", "score"])
 
-    return beside(df, F.pandas_udf(run, "lang_pred string, score double")(named(text)), ["lang_pred", "score"])
+    return beside(df, F.arrow_udf(run, "lang_pred string, score double")(named(text)), ["lang_pred", "score"])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from .common import documents, holds, named
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
 SPANS_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -208,9 +209,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-def _spans_of(texts: pd.Series) -> pd.Series:
+def _spans_of(texts: pa.Array) -> pa.Array:
     names = ("kind", "start", "end", "score", "base")
-    return pd.Series([[dict(zip(names, x, strict=True)) for x in find_spans(t or "")] for t in texts], dtype=object)
+    return pa.array([[dict(zip(names, x, strict=True)) for x in find_spans(t.as_py() or "")] for t in texts], _SPANS)
 
 
 def spans(text: Column) -> Column:
@@ -219,7 +220,7 @@ def spans(text: Column) -> Column:
     Equal texts have equal spans. Base spans of one kind don't overlap; those of other kinds, and added
     ones, may. Spans that start alike are ordered by their end. An empty table gives no rows.
     """
-    return F.pandas_udf(_spans_of, SPANS_TYPE)(text)
+    return F.arrow_udf(_spans_of, SPANS_TYPE)(text)
 
 
 def redact_text(text: str | None) -> str | None:
@@ -235,9 +236,9 @@ def redact_text(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _redacted(texts: pd.Series) -> pd.Series:
+def _redacted(texts: pa.Array) -> pa.Array:
     holds("pii")
-    return texts.map(redact_text)
+    return pa.array([redact_text(t.as_py()) for t in texts], pa.string())
 
 
 def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -247,7 +248,7 @@ def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") ->
     whole. Rows, repeated ones too, and all other columns, whatever their names, stay as they are. An
     empty table gives no rows.
     """
-    out = df.withColumn(text, F.pandas_udf(_redacted, "string")(named(text)))
+    out = df.withColumn(text, F.arrow_udf(_redacted, "string")(named(text)))
     if length and length in df.columns:
         out = out.withColumn(length, F.coalesce(F.length(named(text)).cast(df.schema[length].dataType), named(length)))
     return out.select(*map(named, df.columns))
@@ -256,14 +257,17 @@ def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") ->
 _DIGEST = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def _digests(texts: pd.Series) -> pd.DataFrame:
+def _digests(texts: pa.Array) -> pa.Array:
+    holds("pii")
     rows = []
     for t in texts:
-        found = find_spans(t or "")
+        found = find_spans(t.as_py() or "")
         base = [x for x in found if x[4]]
         name = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in xs)
         rows.append([*(sum(x[0] == k for x in base) for k in BASE_KINDS), hashlib.sha256(name(base).encode()).hexdigest(), name(found)])
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+    fields = [c.split() for c in _DIGEST.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,4 +277,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans that start alike the shorter comes first. Other columns are not read. An empty table gives
     no rows.
     """
-    return documents(spark, sf_dir).select("doc_id", F.pandas_udf(_digests, _DIGEST)("text").alias("d")).select("doc_id", "d.*")
+    return documents(spark, sf_dir).select("doc_id", F.arrow_udf(_digests, _DIGEST)("text").alias("d")).select("doc_id", "d.*")

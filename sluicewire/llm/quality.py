@@ -18,7 +18,6 @@ from itertools import groupby
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +92,7 @@ class Model:
         for t in texts:
             at, v = features(t)
             score.append(float(self.weights[at] @ v))
-        return _sigmoid(np.array(score, dtype=np.float64)[:, None] - self.thresholds)
+        return _sigmoid(np.array(score, dtype=np.float64).reshape(-1, 1) - self.thresholds)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -182,13 +181,15 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    fields = ["expected_grade", "tail_probability"]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         holds("quality", _tokens.clear)
         for texts in batches:
-            tails = shared.value.tails(texts)
-            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, KEEP_GRADE - 1]})
+            tails = shared.value.tails(t.as_py() for t in texts)
+            yield pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, KEEP_GRADE - 1])], names=fields)
 
-    return beside(df, F.pandas_udf(run, "expected_grade double, tail_probability double")(named(text)), ["expected_grade", "tail_probability"])
+    return beside(df, F.arrow_udf(run, ", ".join(f"{f} double" for f in fields))(named(text)), fields)
 
 
 def keep_good(df: DataFrame, model: Model) -> DataFrame:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,14 +53,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def _signed(texts: pd.Series) -> pd.Series:
+def _signed(texts: pa.Array) -> pa.Array:
     holds("simhash")
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def fingerprints(text: Column) -> Column:
     """A text column's fingerprints as signed longs."""
-    return F.pandas_udf(_signed, "long")(text)
+    return F.arrow_udf(_signed, "long")(text)
 
 
 def hex_of(fp: Column) -> Column:

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sluicewire.llm import simhash as s
+from sluicewire.llm.common import split_join
 
 DDL = "doc_id long, text string, fp string, component_id string"
 
@@ -90,19 +91,24 @@ def test_links_find_every_component_also_of_buckets_dealt_again(spark, monkeypat
 def test_joins_of_hot_keys_are_between_plain_exchanges(spark):
     """Spark splits a hot partition of a join only where both sides are plain exchanges (and a sort)."""
     rows = spark.range(3000).select(F.col("id").alias("fp"))
+    edges = rows.select((F.col("fp") % 7).alias("a"), F.col("fp").alias("b"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = s.links(rows)._jdf.queryExecution().executedPlan().toString()
+        grouped = split_join(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"])
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (s.links(rows), grouped)]
+        assert sorted(map(tuple, grouped.collect())) == sorted((i % 7, i, i % 7) for i in range(3000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    lines = plan.split("\n")
-    joins = [i for i, x in enumerate(lines) if "SortMergeJoin" in x]
-    assert joins
-    for i in joins:
-        depth = lines[i].index("SortMergeJoin")
-        below = [x for x in lines[i + 1 :] if "Sort [" in x or "Exchange" in x]
-        assert "Sort [" in below[0] and "Exchange hashpartitioning" in below[1], plan
-        assert depth > 0
+    for plan in plans:
+        lines = plan.split("\n")
+        joins = [i for i, x in enumerate(lines) if "SortMergeJoin" in x]
+        assert joins
+        for i in joins:
+            depth = lines[i].index("SortMergeJoin")
+            # the two sides begin three characters further in
+            for side in [j for j in range(i + 1, len(lines)) if lines[j][depth : depth + 3] in (":- ", "+- ")][:2]:
+                below = [x for x in lines[side:] if "Sort [" in x or "Exchange" in x]
+                assert "Sort [" in below[0] and "Exchange hashpartitioning" in below[1], plan
 
 
 def test_nulls_ties_repeats_clashing_columns(spark):
