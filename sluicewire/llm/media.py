@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, documents, named
+from .common import beside, documents, holds, named
 
 BLOCK = 576
 #: kbit/s by (MPEG-1, layer) and (MPEG-2/2.5, layer); fixed values of ISO 11172-3 and 13818-3.
@@ -321,10 +321,12 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text becomes audio, and all figures are read from the audio's bytes; one is held at a time."""
+    holds("media", crc16.cache_clear)
     for batch in batches:
         out: list[list] = [[] for _ in _DIGEST.names]
-        for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-            data = media.as_py()
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            data = encode((text.as_py() or "").encode())
             p = probe(data)
             back = payload(data, p.offsets)
             row = (doc_id, int(p.tags["payload_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), p.feature())
@@ -340,5 +342,5 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored whole. Equal texts give equal values, repeated rows stay, and an empty table gives no
     rows. Other columns of the table are not read.
     """
-    stored = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), encode_column(F.col("text")).alias("media"))
-    return stored.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")
+    return docs.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
