@@ -12,7 +12,6 @@ time; the few power-of-two lengths are looked up one by one.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,29 +37,38 @@ def choose_cuts(cuts: np.ndarray, penalty: np.ndarray, window: int) -> list[int]
     ``cuts`` are increasing positions over 0, no two (nor 0 and the first) further apart than ``window``.
     """
     pos = np.concatenate(([0], cuts)).astype(np.int64)
-    exact: dict[int, list[int]] = {}
+    # the cuts that lie a power of two before each cut, end to end
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(window.bit_length()):
         if (length := 1 << k) <= window:
             at = np.searchsorted(pos, pos - length)
-            for j in np.flatnonzero((pos[at] == pos - length) & (pos >= length)).tolist():
-                exact.setdefault(j, []).append(int(at[j]))
+            hit = np.flatnonzero(pos[at] == pos - length)
+            later.append(hit)
+            earlier.append(at[hit])
+    order = np.argsort(np.concatenate(later), kind="stable")
+    exact = np.concatenate(earlier)[order].tolist()
+    of = np.searchsorted(np.concatenate(later)[order], np.arange(len(pos) + 1)).tolist()
     p, pen = pos.tolist(), [0.0, *penalty.tolist()]
     best, came = [0.0] * len(p), [0] * len(p)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    # the queue, from ``head`` on: increasing keys of cuts within a window, and these cuts
+    keys, queue, head = [0.0], [0], 0
     for j in range(1, len(p)):
         here = p[j]
-        while here - p[queue[0][1]] > window:
-            queue.popleft()
-        cost, i = queue[0][0] + window - here, queue[0][1]
-        for x in exact.get(j, ()):
-            if best[x] < cost:
-                cost, i = best[x], x
+        while p[queue[head]] < here - window:
+            head += 1
+        cost, i = keys[head] + window - here, queue[head]
+        if of[j] != of[j + 1]:
+            for x in exact[of[j] : of[j + 1]]:
+                if best[x] < cost:
+                    cost, i = best[x], x
         cost += WINDOW_COST + pen[j]
         best[j], came[j] = cost, i
         key = cost + here
-        while queue and queue[-1][0] >= key:
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
             queue.pop()
-        queue.append((key, j))
+        keys.append(key)
+        queue.append(j)
     out, j = [], len(p) - 1
     while j:
         out.append(p[j])

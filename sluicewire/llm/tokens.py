@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Chunks(dict):
     """Ids of chunks; those not seen before are encoded, and remembered while there is room."""
 
@@ -81,7 +86,7 @@ class WordTokenizer:
             self.split = regex.compile(_SPLIT).findall
 
     def _slowly(self, text: str) -> bytes:
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.slow.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
@@ -91,7 +96,7 @@ class WordTokenizer:
         for piece in self.split(text.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = np.array(self.fast._encode_single_piece(piece.encode() + b"\xff"), dtype="<u4").tobytes()
+                ids = _packed(self.fast._encode_single_piece(piece.encode() + b"\xff"))
                 if len(self.pieces) < REMEMBERED:
                     self.pieces[piece] = ids
             out.append(ids)
